@@ -2,7 +2,9 @@
 
 from linkspan.llm import ngram_join, quality, secrets
 from linkspan.llm.decontamination import op5_template_decontamination
+from linkspan.llm.html_extraction import op1_page_differencing
 from linkspan.llm.language_id import op6_rank_order_language_id
+from linkspan.llm.lm_scoring import op7_cross_entropy_difference
 from linkspan.llm.ngram_join import op3_multi_order_ngram_join
 from linkspan.llm.packing import op10_bm25_packing
 from linkspan.llm.pii import op9_bootstrapped_pii
@@ -11,11 +13,13 @@ from linkspan.llm.secrets import op4_ownership_secrets
 from linkspan.llm.sharding import op8_vector_bin_sharding
 
 QUERIES = {
+    "op1_page_differencing": op1_page_differencing,
     "op2_line_frequency_quality": op2_line_frequency_quality,
     "op3_multi_order_ngram_join": op3_multi_order_ngram_join,
     "op4_ownership_secrets": op4_ownership_secrets,
     "op5_template_decontamination": op5_template_decontamination,
     "op6_rank_order_language_id": op6_rank_order_language_id,
+    "op7_cross_entropy_difference": op7_cross_entropy_difference,
     "op8_vector_bin_sharding": op8_vector_bin_sharding,
     "op9_bootstrapped_pii": op9_bootstrapped_pii,
     "op10_bm25_packing": op10_bm25_packing,
