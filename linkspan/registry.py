@@ -1,5 +1,7 @@
 """All queries by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from linkspan.plans.queries import ORACLES, QUERIES
+
+FLAGSHIP = "fine_rank_100"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
