@@ -43,6 +43,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, or a written copy where a second reading might deal the rows out differently: row numbers then mean the same rows each time."""
+    nodes = set(re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M))
+    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else materialise(df)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep the batches handed to Python workers small: texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -200,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     known = items.select("h").distinct()
     wanted = None
     if known.count() <= BROADCAST_WINDOWS:
-        wanted = spark.sparkContext.broadcast(np.unique(known.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+        wanted = spark.sparkContext.broadcast(np.unique(known.toArrow()["h"].to_numpy().view(np.uint64)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
     if not lengths:
         rows, lengths, wanted = rows.limit(0), [WINDOW], None

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import free_name, materialise, table, text_of
+from linkspan.llm.common import free_name, materialise, stable, table, text_of
 from linkspan.llm.spans import matches, per_row
 
 BASE = ("email", "ip", "card", "phone")
@@ -108,34 +108,36 @@ def find(rows: DataFrame, uid: str, text: str) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest and spans of every row of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text_"), F.monotonically_increasing_id().alias("uid"))
+    rows = stable(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text_"), F.monotonically_increasing_id().alias("uid"))
     found = materialise(find(rows, "uid", "text_"))
     return per_row(rows.select("doc_id", "uid"), found, "uid", BASE, ADDED, by_kind=True).drop("uid")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, each span replaced by its kind in angle brackets; overlapping spans become one, named after the first. The columns stay as they are (n_chars, where it is one, follows the text)."""
-    uid = free_name(docs, "row_uid")
+    uid, spans, done, new = (free_name(docs, n) for n in ("row_uid", "spans_found", "text_parts", "text_redacted"))
     fixed = materialise(docs.withColumn(uid, F.monotonically_increasing_id()))
     found = find(fixed.select(uid, text_of(text_col).alias("text_")), uid, "text_")
-    ordered = found.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans_"))
+    ordered = found.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(spans))
+    text = F.col(text_col)
     # a running end over the sorted spans: what stands before a span is kept from the end so far
     step = F.aggregate(
-        "spans_",
+        spans,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["parts"]).otherwise(F.concat(a["parts"], F.array(F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("<"), s["kind"], F.lit(">"))))).alias("parts"),
+            F.when(s["start"] < a["at"], a["parts"])
+            .otherwise(F.concat(a["parts"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("<"), s["kind"], F.lit(">")))))
+            .alias("parts"),
         ),
     )
-    marked = fixed.join(ordered, uid, "left").withColumn("done_", step)
-    tail = F.substring(F.col(text_col), (F.col("done_.at") + 1).cast("int"), F.length(text_col))
-    text = F.when(F.col("spans_").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.col("done_.parts"), ""), tail))
-    out = marked.withColumn("redacted_", text)
-    new = {text_col: F.col("redacted_")}
+    marked = fixed.join(ordered, uid, "left").withColumn(done, step)
+    tail = F.substring(text, (F.col(done)["at"] + 1).cast("int"), F.length(text))
+    out = marked.withColumn(new, F.when(F.col(spans).isNull(), text).otherwise(F.concat(F.array_join(F.col(done)["parts"], ""), tail)))
+    cols = {text_col: F.col(new)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(F.length("redacted_").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+        cols["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns))
 
 
 def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from linkspan.llm.common import WORDS, free_name, map_texts, materialise, table
+from linkspan.llm.common import WORDS, free_name, map_texts, materialise, small_batches, table
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -81,8 +83,8 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int,
         if n:
             dup += line in seen
             seen.add(line)
-            h = xxhash.xxh3_64_intdigest(normalise(line).encode("utf-8", "surrogatepass"))
-            lines[h - (1 << 64) if h >> 63 else h] = lines.get(h - (1 << 64) if h >> 63 else h, 0) + n
+            h = _signed(normalise(line))
+            lines[h] = lines.get(h, 0) + n
     return len(words), sum(map(len, words)), len(text) - len(text.translate(NO_SYMBOLS)), dup, repeated_words(words), list(lines.items())
 
 
@@ -128,30 +130,20 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
 
 def clean(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, without their common lines; the columns stay as they are (n_chars, where it is one, follows the text)."""
-    uid = free_name(docs, "row_uid")
+    uid, gone, removed = (free_name(docs, n) for n in ("row_uid", "gone_lines", "removed_from"))
     fixed = materialise(docs.withColumn(uid, F.monotonically_increasing_id()))
-    verdict, common = judge(fixed.drop(*(c for c in ("uid",) if c in docs.columns)), host_col, text_col, keep=(uid,))
-    passed = fixed.join(verdict.where("kept").select(uid, "removed_words"), uid)
+    verdict, common = judge(fixed, host_col, text_col, keep=(uid,))
+    passed = fixed.join(verdict.where("kept").select(uid, F.col("removed_words").alias(removed)), uid)
     n = common.count()
-    touched = passed.where(F.col("removed_words") > 0)
     if not n:
         return passed.select(*docs.columns)
-    hashes = common.groupBy("host").agg(F.collect_set("line_hash").alias("common_"))  # at most lines of a text / LINE_SHARE for each host
-    joined = touched.alias("t").join(F.broadcast(hashes) if n <= BROADCAST_LINES else hashes, F.col(f"t.{host_col}").cast("string").eqNullSafe(F.col("host")), "left")
-    kept = tuple(c for c in docs.columns if c != text_col)
-
-    def strip(texts: list, commons: list) -> list:
-        out = []
-        for text, gone in zip(texts, commons, strict=True):
-            gone = set(gone or ())
-            lines = [x for x in text.split("\n") if not WORDS.search(x) or _signed(normalise(x)) not in gone]
-            out.append("\n".join(lines))
-        return out
-
-    stripped = _map_pairs(joined.select(*(F.col(f"t.{c}").alias(c) for c in docs.columns), "common_"), kept, text_col, strip)
+    hashes = common.groupBy("host").agg(F.collect_set("line_hash").alias(gone))  # at most lines of a text / LINE_SHARE for each host
+    side = F.broadcast(hashes) if n <= BROADCAST_LINES else hashes
+    touched = passed.where(F.col(removed) > 0).alias("t").join(side.alias("c"), F.col(f"t.{host_col}").cast("string").eqNullSafe(F.col("c.host")), "left")
+    stripped = _strip(touched.select(*(F.col(f"t.{c}").alias(c) for c in docs.columns), F.col(f"c.{gone}").alias(gone)), text_col, gone)
     if "n_chars" in docs.columns:
         stripped = stripped.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return passed.where(F.col("removed_words") == 0).select(*docs.columns).unionByName(stripped.select(*docs.columns))
+    return passed.where(F.col(removed) == 0).select(*docs.columns).unionByName(stripped.select(*docs.columns))
 
 
 def _signed(line: str) -> int:
@@ -159,18 +151,18 @@ def _signed(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _map_pairs(df: DataFrame, kept: tuple[str, ...], text_col: str, f) -> DataFrame:
-    import pyarrow as pa
-    from pyspark.sql.types import StructType
-
-    from linkspan.llm.common import small_batches
-
+def _strip(df: DataFrame, text_col: str, gone: str) -> DataFrame:
+    """df without the lines whose hash is in `gone`, and without that column."""
     small_batches(df.sparkSession)
+    kept = [c for c in df.columns if c not in (text_col, gone)]
     schema = StructType([df.schema[c] for c in kept] + [df.schema[text_col]])
 
     def run(batches):
         for b in batches:
-            texts = f(b.column(text_col).to_pylist(), b.column("common_").to_pylist())
+            texts = []
+            for text, hashes in zip(b.column(text_col).to_pylist(), b.column(gone).to_pylist(), strict=True):
+                known = set(hashes or ())
+                texts.append("\n".join(x for x in text.split("\n") if not WORDS.search(x) or _signed(normalise(x)) not in known))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text_col])
 
     return df.mapInArrow(run, schema)

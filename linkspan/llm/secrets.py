@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import materialise, table, text_of
+from linkspan.llm.common import materialise, stable, table, text_of
 from linkspan.llm.spans import matches, per_row
 
 BASE = ("assign", "access", "hex")
@@ -60,7 +60,7 @@ def find(rows: DataFrame, uid: str, text: str, owner: str) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Counts, digests and spans of every row of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text_"), F.col(owner_col).cast("string").alias("owner_"), F.monotonically_increasing_id().alias("uid"))
+    rows = stable(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text_"), F.col(owner_col).cast("string").alias("owner_"), F.monotonically_increasing_id().alias("uid"))
     found = materialise(find(rows, "uid", "text_", "owner_"))
     counted = per_row(rows.select("doc_id", "uid"), found, "uid", BASE, ADDED, by_kind=False)
     live = found.groupBy("uid").agg(F.count(F.when(F.col("owners") <= OWNERS, 1)).alias("n_live"), F.count(F.when(F.col("owners") > OWNERS, 1)).alias("n_example"))

@@ -107,12 +107,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     local = materialise(
         bucketed.groupBy("bucket").applyInArrow(_pack_bucket(shards), "doc_id long, size long, tokens long, text_crc32 long, bucket int, bin int, at long")
     )
-    bins = local.groupBy("bucket", "bin").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy("bucket", "bin").toPandas()
-    placed = bins[["bucket", "bin"]].astype("int32").assign(shard=np.int32(0), offset=np.int64(0))
-    if len(bins):
-        placed["shard"] = place(bins[["b", "t", "n"]].to_numpy(dtype=float), shards)
-        placed["offset"] = bins["n"].groupby(placed["shard"]).cumsum() - bins["n"]
-    where = spark.createDataFrame(list(placed.itertuples(index=False, name=None)) if len(placed) else [], "bucket int, bin int, shard int, offset long")
+    bins = local.groupBy("bucket", "bin").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy("bucket", "bin").toArrow()
+    counts = bins["n"].to_numpy()
+    placed = place(np.stack([bins[c].to_numpy() for c in ("b", "t", "n")], axis=1).astype(float), shards)
+    offset, filled = np.zeros(len(placed), np.int64), np.zeros(shards, np.int64)
+    for i, s in enumerate(placed):
+        offset[i] = filled[s]
+        filled[s] += counts[i]
+    where = spark.createDataFrame(pa.table({"bucket": bins["bucket"], "bin": bins["bin"], "shard": pa.array(placed, pa.int32()), "offset": pa.array(offset)}))
     return local.join(F.broadcast(where), ["bucket", "bin"]).select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("offset") + F.col("at")).alias("slot"))
 
 
