@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import map_texts, materialise, small_batches, table
+from linkspan.llm.common import map_texts, materialise, small_batches, stable, table
 from linkspan.llm.ngram_join import MULTIPLIERS, WordHashes, mixed
 
 MIN_WORD = 2
@@ -119,6 +119,14 @@ def _count(rows: DataFrame, all_bigrams: bool, known=None) -> DataFrame:
     return rows.select("text", "good").mapInArrow(run, "kind int, key long, t long, b long").groupBy("kind", "key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
+def _by_key(counts: DataFrame) -> dict[str, np.ndarray]:
+    """key, t and b as arrays by ascending key; the rows come as Arrow, 24 bytes each."""
+    found = counts.toArrow()
+    key = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return {"key": key[order], "t": found["t"].to_numpy()[order], "b": found["b"].to_numpy()[order]}
+
+
 def _score_here(model):
     """Losses of texts by tables at hand."""
 
@@ -183,7 +191,7 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     good = good_ids.select(F.col(good_ids.columns[0]).alias("good_id")).where("good_id is not null").distinct()
     side = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = stable(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
     flagged = rows.join(side, rows["doc_id"] == F.col("good_id"), "left").select("doc_id", "uid", "text", F.col("good_id").isNotNull().alias("good"))
     counts = _count(flagged, all_bigrams=False)
     kept = materialise(counts.where((F.col("kind") == TOTAL) | ((F.col("kind") == WORD) & (F.col("t") >= MIN_WORD)) | ((F.col("kind") == BIGRAM) & (F.col("t") >= MIN_BIGRAM))))
@@ -194,17 +202,15 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
     unknown = [n - (getattr(sums[WORD], k) if WORD in sums else 0) for k, n in zip("tb", total, strict=True)]
     here = size + (sums[BIGRAM].n if BIGRAM in sums else 0) <= broadcast_grams
     if here:
-        v = vocabulary.select("key", "t", "b").toPandas()
-        v = v.iloc[np.argsort(v["key"].to_numpy(np.int64).view(np.uint64))]
-        known = spark.sparkContext.broadcast(np.unique(inventory.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
-        i = _count(flagged, all_bigrams=False, known=known).where(F.col("kind") == BIGRAM).select("key", "t", "b").toPandas()
-        i = i.iloc[np.argsort(i["key"].to_numpy(np.int64).view(np.uint64))]
-        model = {"words": v["key"].to_numpy(np.int64).view(np.uint64), "bigrams": i["key"].to_numpy(np.int64).view(np.uint64), "p": [], "count": [], "pair": []}
+        v = _by_key(vocabulary.select("key", "t", "b"))
+        known = spark.sparkContext.broadcast(np.unique(inventory.select("key").toArrow()["key"].to_numpy().view(np.uint64)))
+        i = _by_key(_count(flagged, all_bigrams=False, known=known).where(F.col("kind") == BIGRAM).select("key", "t", "b"))
+        model = {"words": v["key"], "bigrams": i["key"], "p": [], "count": [], "pair": []}
         for k, name in enumerate("tb"):
-            count = np.append(v[name].to_numpy(np.float64), unknown[k])
+            count = np.append(v[name].astype(np.float64), unknown[k])
             model["count"].append(count)
             model["p"].append((count + 1) / (total[k] + size + 1))
-            model["pair"].append(np.append(i[name].to_numpy(np.float64), 0.0))
+            model["pair"].append(np.append(i[name].astype(np.float64), 0.0))
         out = map_texts(rows, "text", ("doc_id",), _score_here(spark.sparkContext.broadcast(model)), "n_tokens long, target_loss double, background_loss double")
     else:
         full = _count(flagged, all_bigrams=True).where(F.col("kind") == BIGRAM).join(inventory.select("key"), "key", "left_semi").select(F.col("key").alias("vw"), F.col("t").alias("vw_t"), F.col("b").alias("vw_b"))
