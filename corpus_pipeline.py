@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkspan.llm import decontamination, ngram_join, packing, pii, quality
 from linkspan.llm.common import materialise, table
+from linkspan.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again before the next."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
