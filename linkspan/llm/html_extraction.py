@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from linkspan.llm.common import map_texts, materialise, table
+from linkspan.llm.common import map_texts, materialise, small_batches, stable, table
 
 CHROME, PLAIN, CONTENT = 0, 1, 2
+#: Lines whose marks (a byte each) are broadcast; beyond, pages are shuffled to them.
+BROADCAST_LINES = 20_000_000
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noscript noembed noframes template xmp svg math".split())
@@ -134,16 +137,39 @@ def parse(page: str | None) -> list[tuple[str, int]]:
     return lines
 
 
-def _per_batch():
+def _hashes():
+    """Each page's lines as hashes."""
+
     def signed(line: str) -> int:
         h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
         return h - (1 << 64) if h >> 63 else h
 
-    def run(pages: list) -> dict[str, list]:
-        parsed = [parse(p) for p in pages]
-        return {"lines": [[t for t, _ in p] for p in parsed], "zones": [[z for _, z in p] for p in parsed], "hashes": [[signed(t) for t, _ in p] for p in parsed]}
+    return lambda pages: {"hashes": [[signed(t) for t, _ in parse(p)] for p in pages]}
+
+
+def text_of_page(page: str | None, gone: list[bool] | None) -> tuple[str, int, int]:
+    """The lines that stay, how many lines the page has, and how many of them its neighbour shares."""
+    lines = parse(page)
+    gone = gone or [False] * len(lines)
+    least = CONTENT if any(z == CONTENT for _, z in lines) else PLAIN
+    stays = [t for (t, z), g in zip(lines, gone, strict=True) if z >= least and (z == CONTENT or not g)]
+    return "\n".join(stays), len(lines), sum(gone)
+
+
+def _texts(joined: DataFrame) -> DataFrame:
+    """page_id, url, text, n_lines and n_shared from (page_id, url, html, common)."""
+    import pyarrow as pa
+
+    small_batches(joined.sparkSession)
+    schema = StructType([joined.schema["page_id"], joined.schema["url"], *StructType.fromDDL("text string, n_lines int, n_shared int").fields])
+
+    def run(batches):
+        for batch in batches:
+            found = [text_of_page(p, g) for p, g in zip(batch.column("html").to_pylist(), batch.column("common").to_pylist(), strict=True)]
+            made = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *made], names=schema.names)
 
-    return run
+    return joined.select("page_id", "url", "html", "common").mapInArrow(run, schema)
 
 
 def _row_lengths(a: list, b: list) -> list[int]:
@@ -235,22 +261,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars, and n_lines and n_shared (lines of the page, and those that its neighbour shares) of every row of pages."""
     url = F.col(url_col).cast("string")
     origin = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
-    rows = pages.select(
-        F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("uid"),
-        F.lower(F.coalesce(F.regexp_extract(url, origin, 1), F.lit(""))).alias("host"), F.coalesce(F.regexp_extract(url, origin, 2), F.lit("")).alias("path"),
-    )
-    parsed = materialise(map_texts(rows, "html", ("page_id", "url", "uid", "host", "path"), _per_batch, "lines array<string>, zones array<int>, hashes array<bigint>"))
-    near = neighbours(parsed.select("uid", "host", "path"))
-    hashes = parsed.select("uid", "hashes")
-    pairs = near.join(hashes.withColumnRenamed("hashes", "own"), "uid").join(hashes.select(F.col("uid").alias("near"), F.col("hashes").alias("other")), "near")
-    common = _aligned(pairs)
-    out = parsed.select("page_id", "url", "uid", "lines", "zones").join(common, "uid", "left")
-    least = F.when(F.exists("zones", lambda z: z == CONTENT), CONTENT).otherwise(PLAIN)
-    out = out.withColumn("least", least).withColumn("gone", F.coalesce("common", F.transform("zones", lambda z: F.lit(False))))
-    stays = F.filter(F.arrays_zip("lines", "zones", "gone"), lambda x: (x["zones"] >= F.col("least")) & ((x["zones"] == CONTENT) | ~x["gone"]))
-    text = F.array_join(F.transform(stays, lambda x: x["lines"]), "\n")
-    shared_ = F.size(F.filter("gone", lambda x: x))
-    return out.select("page_id", "url", text.alias("text"), F.size("lines").alias("n_lines"), shared_.alias("n_shared")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
+    rows = stable(pages).select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("uid"))
+    host, path = (F.coalesce(F.regexp_extract("url", origin, k), F.lit("")) for k in (1, 2))
+    hashed = rows.select("uid", F.lower(host).alias("host"), path.alias("path"), "html")
+    hashed = materialise(map_texts(hashed, "html", ("uid", "host", "path"), _hashes, "hashes array<bigint>"))
+    near = neighbours(hashed.select("uid", "host", "path"))
+    own = hashed.select("uid", F.col("hashes").alias("own"))
+    pairs = near.join(own, "uid").join(own.select(F.col("uid").alias("near"), F.col("own").alias("other")), "near")
+    common = materialise(_aligned(pairs))
+    # pages are read again rather than kept: beside the marks of their lines, the texts are the bulk
+    lines = common.agg(F.sum(F.size("common"))).first()[0] or 0
+    marked = rows.join(F.broadcast(common) if lines <= BROADCAST_LINES else common, "uid", "left")
+    return _texts(marked).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
 
 
 def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
