@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,7 +41,25 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/linkspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once nothing that is still to be read depends on them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows up to which a list of row numbers, or what goes with them, is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def pick(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """df joined with a table of row numbers: by broadcast where it is small, so that df's texts need not move, else by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -81,9 +100,13 @@ def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], per_batch: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = per_batch()
-        for batch in batches:
-            made = f(batch.column(text_in).to_pylist())
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[n], t) for n, t in types)], names=[*keep, *(n for n, _ in types)])
+        gc.disable()  # caches of many strings make collections slow, and texts make no cycles
+        try:
+            for batch in batches:
+                made = f(batch.column(text_in).to_pylist())
+                kept = [batch.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[n], t) for n, t in types)], names=[*keep, *(n for n, _ in types)])
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(run, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import materialise
+from linkspan.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,12 +21,15 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         if label is None:
-            label = step.select(F.col("a").alias("v"), F.col("m").alias("component"))
+            label = materialise(step.select(F.col("a").alias("v"), F.col("m").alias("component")))
         else:
             moved = label.join(step, label["component"] == step["a"], "left")
-            label = materialise(moved.select("v", F.coalesce("m", "component").alias("component")))
+            old, label = label, materialise(moved.select("v", F.coalesce("m", "component").alias("component")))
+            discard(old)
         one = edges.join(step.select(F.col("a"), F.col("m").alias("x")), "a")
         two = one.join(step.select(F.col("a").alias("b"), F.col("m").alias("y")), "b")
-        edges = materialise(two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        old, edges = edges, materialise(two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(old, step)
         if edges.isEmpty():
+            discard(edges)
             return label

@@ -3,19 +3,22 @@
 Sets of 3-word shingles link at a Jaccard similarity of ``PERCENT`` or more. Under any fixed order
 of all shingles, two sets that link share a shingle among the first ``n - ceil(t n) + 1`` of each.
 Three orders are used. All put shingles that are frequent in the corpus last, by frequency; the
-rest follow in three unrelated orders by hash. Rows that share a prefix shingle under the first
-order are candidates; candidates must also share one under the second and the third, fit in size,
+rest follow in three unrelated orders by hash. The first order's prefixes are longer by a tenth of the
+set, so sets that link share about as many shingles there: sets that hold too few shingles found in
+any other prefix link with nothing and go at once. The rest that share a prefix shingle under the
+first order are candidates; candidates must also share one under the second and the third, fit in size,
 and not differ in more bits of a 512-bit parity sketch than the similarity allows. What passes all
 filters is verified on the whole sets. None of the filters can lose a link.
 
 Equal sets are joined through their digest and stand in for one another afterwards. Only the
-components are wanted, so no bucket is expanded into all its pairs: first each member of a bucket
-is held against the bucket's first member; then only pairs from different components are left, and
-these pass the filters inside the join, before they become rows.
+components are wanted, so no bucket is expanded into all its pairs: first each set is held against
+one other, that among its buckets' first members with which it shares most; then only pairs from
+different components are left, and these pass the filters inside the join, before they become rows.
 
 The frequent shingles are counted over all rows, within batches first; at most ``HEAVY`` of them are
 broadcast (16 bytes each). Which they are touches the speed alone: any order gives the same links.
-Shingles are 64-bit hashes.
+Shingles are 64-bit hashes; the filters look at 48 and at 31 bits of them, which may only let more
+pairs through to the verification.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing, not even
 each other; a text of one or two words is one shingle; null ids take part, and a component's id is
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import map_texts, materialise, table
+from linkspan.llm.common import discard, free_name, map_texts, materialise, pick, stable, table
 from linkspan.llm.graph import components
 
 WORDS_IN_SHINGLE = 3
@@ -40,8 +43,6 @@ PERCENT = 90
 #: The most frequent shingles that the orders know, and the count in a batch of rows from which a shingle is counted.
 HEAVY = 200_000
 BATCH_COUNT = 3
-#: Rows up to which a list of row numbers is broadcast (8 bytes each).
-BROADCAST_ROWS = 1_000_000
 SKETCH = 8
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 WORDS_CACHED = 300_000
@@ -77,8 +78,14 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def prefix_size(n: int, percent: int, shared: int = 1) -> int:
+    """Members of a set of n that come first in an order and hold `shared` members of any set that it links with, these being first there too."""
+    return n - (percent * n + 99) // 100 + shared
+
+
+def shared_size(n: int) -> int:
+    """How many shared prefix shingles the first order looks for: a tenth of the set and one."""
+    return 1 + n // 10
 
 
 def _first_pass():
@@ -99,47 +106,67 @@ def _first_pass():
     return run
 
 
-def _second_pass(heavy, percent: int):
+def _ordered(s: np.ndarray, keys: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rare shingles by hash, and the frequent ones by frequency as far as `most` members reach them."""
+    if not len(keys):
+        return s, s[:0]
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    hit = keys[at] == s
+    rare, often = s[~hit], s[hit]
+    if len(rare) < most:
+        often = often[np.argsort(places[at[hit]], kind="stable")]
+    return rare, often
+
+
+def _first_prefixes(heavy, percent: int):
+    """Each set's prefix under the first order, 48 bits of each shingle."""
+
+    def per_batch():
+        keys, places = heavy.value
+        hashes = WordHashes()
+
+        def one(s: np.ndarray) -> list:
+            n = len(s)
+            size = min(n, prefix_size(n, percent, shared_size(n)))
+            rare, often = _ordered(s, keys, places, size)
+            return (np.concatenate([rare[:size], often[: max(0, size - len(rare))]]) >> np.uint64(16)).astype(np.int64).tolist()
+
+        def run(texts: list) -> dict[str, list]:
+            sets = [shingles(t, hashes) for t in texts]
+            return {"n": [len(s) for s in sets], "first": [one(s) if len(s) else [] for s in sets]}
+
+        return run
+
+    return per_batch
+
+
+def _traits(heavy, percent: int):
+    """Each set, its prefixes under the second and third order (31 bits of each shingle), and its parity sketch."""
+
     def per_batch():
         keys, places = heavy.value
         hashes = WordHashes()
 
-        def prefixes(s: np.ndarray) -> tuple[list, list, list, list]:
+        def one(s: np.ndarray) -> tuple[list, list, list, list]:
             p = prefix_size(len(s), percent)
-            rare, often = s, s[:0]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                hit = keys[at] == s
-                rare, often = s[~hit], s[hit]
-                if len(rare) < p:
-                    often = often[np.argsort(places[at[hit]], kind="stable")]
-            short = p - len(rare)
+            rare, often = _ordered(s, keys, places, p)
             out = []
-            for k in range(3):
-                if short >= 0:
-                    own = np.concatenate([rare, often[:short]])
-                elif k == 0:
-                    own = rare[:p]
-                else:
-                    own = rare[np.argpartition(rare * MULTIPLIERS[k], p - 1)[:p]]
-                out.append(own.view(np.int64).tolist() if k == 0 else (own >> np.uint64(33)).astype(np.int32).tolist())
+            for k in (1, 2):
+                own = np.concatenate([rare, often[: p - len(rare)]]) if len(rare) <= p else rare[np.argpartition(rare * MULTIPLIERS[k], p - 1)[:p]]
+                out.append((own >> np.uint64(33)).astype(np.int32).tolist())
             odd = np.bincount((s >> np.uint64(11) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-            return *out, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+            return *out, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), s.view(np.int64).tolist()
 
         def run(texts: list) -> dict[str, list]:
-            found = [prefixes(s) if len(s := shingles(t, hashes)) else ([], [], [], []) for t in texts]
-            return {name: [x[k] for x in found] for k, name in enumerate(("first", "second", "third", "sketch"))}
+            sets = [shingles(t, hashes) for t in texts]
+            found = [one(s) for s in sets]
+            return {"n": [len(s) for s in sets]} | {name: [x[k] for x in found] for k, name in enumerate(("second", "third", "sketch", "s"))}
 
         return run
 
     return per_batch
 
 
-def _sets():
-    hashes = WordHashes()
-    return lambda texts: {"s": [shingles(t, hashes).view(np.int64).tolist() for t in texts]}
-
-
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches allow the similarity: sets that link differ in n + m - 2 ceil(t (n + m) / (1 + t)) members at most."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -149,22 +176,37 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= both - 2 * least)
 
 
-def _only(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """The rows of df whose number is among ids: by broadcast where ids are few, else by a shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, "left_semi")
-
-
-def _verified(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    own = prefixes.select("uid", "second", "third")
+def _members(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(token, uid) of the first order's prefix shingles that sets share, for the sets that share enough of them.
+
+    A set that links with one of m members shares shared_size(m) of them at least, and m is percent of its own size or more.
+    """
+    least = prefixes.select("uid", (1 + F.floor(F.floor((percent * F.col("n") + 99) / F.lit(100)) / F.lit(10))).alias("least"))
+    member, kept = prefixes.select("uid", F.explode("first").alias("token")), []
+    for _ in range(2):  # sets that went leave others with too few
+        shared = member.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+        held = member.join(shared, "token").groupBy("uid").agg(F.collect_list("token").alias("held"))  # a set's own prefix at most
+        enough = materialise(held.join(least, "uid").where(F.size("held") >= F.col("least")).select("uid", "held"))
+        kept.append(enough)
+        member = enough.select("uid", F.explode("held").alias("token"))
+    shared = member.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+    out = materialise(member.join(shared, "token"))
+    discard(*kept)
+    return out
+
+
+def _verified(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link: they share prefix shingles under the second and the third order, and enough of all."""
+    own = traits.select("uid", "second", "third")
     one = pairs.join(own.select(F.col("uid").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3")), "a")
     two = one.join(own.select(F.col("uid").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3")), "b")
     pairs = materialise(two.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
-    sets = materialise(map_texts(_only(rows, wanted, "uid"), "text", ("uid",), _sets, "s array<bigint>"))
+    sets = traits.select("uid", "s")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return materialise(both.withColumn("c", common).where(100 * F.col("c") >= percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b"))
+    out = materialise(both.withColumn("c", common).where(100 * F.col("c") >= percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b"))
+    discard(pairs)
+    return out
 
 
 def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +222,8 @@ def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         least = r.step
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found = counts.where(F.floor(4 * F.log2("n")) >= least).toPandas()
-    keys = found["heavy"].to_numpy(np.int64).view(np.uint64)
+    found = counts.where(F.floor(4 * F.log2("n")) >= least).toArrow()
+    keys = found["heavy"].to_numpy().view(np.uint64)
     order = np.lexsort((keys, found["n"].to_numpy()))
     places = np.empty(len(keys), np.int64)
     places[order] = np.arange(len(keys))
@@ -192,49 +234,55 @@ def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs, with its row number `uid`."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = stable(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
     first = materialise(map_texts(rows, "text", ("doc_id", "uid"), _first_pass, "n long, digest binary, heavy array<bigint>, heavy_n array<bigint>"))
     every = first.select("doc_id", "uid", "n", "digest")
     heavy = spark.sparkContext.broadcast(_heavy(first))
     classes = materialise(every.where("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.first("n").alias("n")))
 
-    found = map_texts(rows, "text", ("uid",), _second_pass(heavy, percent), "first array<bigint>, second array<int>, third array<int>, sketch array<bigint>")
-    prefixes = materialise(found.join(classes.select("uid", "n"), "uid"))
-    tokens = prefixes.select("uid", F.explode("first").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("uid").alias("lead")).where("members > 1").select("token", "lead")
-    member = materialise(tokens.join(shared, "token"))
-    traits = prefixes.select("uid", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)))
-
-    star = member.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
-    star = star.join(traits.select(F.col("uid").alias("a"), F.struct(*traits.columns[1:]).alias("x")), "a").join(traits.select(F.col("uid").alias("b"), F.struct(*traits.columns[1:]).alias("y")), "b")
-    links = _verified(star.where(_may_link("x", "y", percent)).select("a", "b"), prefixes, rows, percent)
-    label = components(links)
-
-    placed = member.select("token", "uid").join(label.withColumnRenamed("v", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    copies = materialise(every.where("n > 0").select("uid").join(classes.select("uid"), "uid", "left_anti"))
+    alone = pick(rows, copies, "uid", "left_anti")
+    prefixes = materialise(map_texts(alone, "text", ("uid",), _first_prefixes(heavy, percent), "n long, first array<bigint>").where("n > 0"))
+    member = _members(prefixes, percent)
+    discard(prefixes, copies)
+    left = materialise(member.select("uid").distinct())
+    traits = materialise(map_texts(pick(rows, left, "uid", "left_semi"), "text", ("uid",), _traits(heavy, percent), "n long, second array<int>, third array<int>, sketch array<bigint>, s array<bigint>"))
+    marks = traits.select("uid", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)))
+
+    lead = member.groupBy("token").agg(F.min("uid").alias("lead"))
+    shares = member.join(lead, "token").where("uid <> lead").groupBy("lead", "uid").agg(F.count(F.lit(1)).alias("n"))
+    star = shares.groupBy("uid").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("uid").alias("b"))
+    star = star.join(marks.select(F.col("uid").alias("a"), F.struct(*marks.columns[1:]).alias("x")), "a").join(marks.select(F.col("uid").alias("b"), F.struct(*marks.columns[1:]).alias("y")), "b")
+    links = _verified(star.where(_may_link("x", "y", percent)).select("a", "b"), traits, percent)
+    joined = components(links)
+
+    placed = member.select("token", "uid").join(joined.withColumnRenamed("v", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     mixed_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = materialise(placed.join(mixed_, "token").join(traits, "uid"))
+    open_ = materialise(placed.join(mixed_, "token").join(marks, "uid"))
     a, b = open_.alias("a"), open_.alias("b")
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent))
-    more = _verified(cross.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct(), prefixes, rows, percent)
+    more = _verified(cross.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct(), traits, percent)
     label = components(links.unionByName(more))
 
     of = classes.join(label.withColumnRenamed("v", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(of.join(least, "component").select("digest", "component_id"))
+    discard(classes, member, left, traits, links, joined, open_, more, label)
     return every.join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "uid"
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group left: the one with the group's id, and the first of these where ids repeat. Rows without words are groups of their own."""
-    from linkspan.llm.common import free_name
-
+    """docs with one row of each group left: that with the smallest id (null last), and the first row of these. Rows without words are groups of their own."""
     uid = free_name(docs, "row_uid")
-    fixed = materialise(docs.withColumn(uid, F.monotonically_increasing_id()))
-    linked = link(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), "id_", "text_")
-    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias(uid))
-    return fixed.join(kept, uid, "left_semi").select(*docs.columns)
+    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
+    linked = link(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), "id_", "text_").select(F.col("doc_id").alias(uid), "component_id")
+    ids = fixed.select(uid, F.col(id_col).alias("id_")).join(linked, uid)
+    ranked = F.struct(F.col("id_").isNull().alias("none"), "id_", uid)
+    first = ids.groupBy("component_id").agg(F.min(ranked).alias("x")).select(F.col(f"x.{uid}").alias(uid))
+    gone = materialise(linked.select(uid).join(first, uid, "left_anti"))
+    return pick(fixed, gone, uid, "left_anti").select(*docs.columns)
 
 
 def op3_multi_order_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
