@@ -6,8 +6,7 @@ document's n-grams, of how far the ranks differ, or of the profile's length wher
 the n-gram. The closest language wins; ties go to the first in alphabetical order.
 
 Letters are lower-cased; all else parts words and counts as one space. Profiles are fitted on at
-most ``FIT_DOCS`` labelled documents of each language (those with the lowest hash of their text),
-and of each of these only the labelled training side is read. Prediction reads the text alone.
+most ``FIT_DOCS`` different labelled texts of each language, those with the lowest hashes. Prediction reads the text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled
 training document all texts are ``und``; null ids and repeated rows are rows like any other;
@@ -72,12 +71,14 @@ def fit(docs: DataFrame, lang_col: str, text_col: str = "text", limit: int = FIT
     """Alphabet and profiles from at most `limit` labelled rows of each language; the result's size is fixed by `profile` and `ALPHABET`."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # a third of all rows may have one language: the window group limit keeps `limit` rows of each task before the shuffle
-    keys = labelled.select("lang", "h").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= limit)
-    cut = {r.lang: r.h for r in keys.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not cut:
+    # hashes are even, so a share of the hash space that holds twice the limit leaves few rows to rank, whatever the size of the input
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
         return {"langs": [], "alphabet": np.zeros(0, np.int64), "profiles": []}
-    chosen = labelled.where(F.coalesce(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])[F.col("lang")], F.lit(-(2**63))) >= F.col("h"))
+    tops = {lang: min(2**63 - 1, int(2 * (limit + 50) / max(n, 1) * 2**64) - 2**63) for lang, n in sizes.items()}
+    cut = F.create_map(*[F.lit(x) for kv in tops.items() for x in kv])
+    texts = labelled.where(F.col("h") <= cut[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    chosen = texts.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= limit)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
