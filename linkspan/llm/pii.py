@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import free_name, materialise, stable, table, text_of
+from linkspan.llm.common import discard, free_name, materialise, pick, stable, table, text_of
 from linkspan.llm.spans import matches, per_row
 
 BASE = ("email", "ip", "card", "phone")
@@ -101,6 +101,7 @@ def find(rows: DataFrame, uid: str, text: str) -> DataFrame:
     loose = loose.where(F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS))
     over = (F.col(f"o.{uid}") == F.col(f"b.{uid}")) & (F.col("o.start") < F.col("b.end")) & (F.col("b.start") < F.col("o.end"))
     loose = materialise(loose.alias("o").join(base.select(uid, "start", "end").alias("b"), over, "left_anti").withColumn("seed", F.lit(False)))
+    discard(hits)
     sure = bootstrap(base.unionByName(loose))
     added = loose.withColumn("v", F.xxhash64("value", F.length("value"))).join(sure, "v", "left_semi")
     return base.select(uid, "kind", "start", "end").unionByName(added.select(uid, "kind", "start", "end"))
@@ -116,9 +117,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, each span replaced by its kind in angle brackets; overlapping spans become one, named after the first. The columns stay as they are (n_chars, where it is one, follows the text)."""
     uid, spans, done, new = (free_name(docs, n) for n in ("row_uid", "spans_found", "text_parts", "text_redacted"))
-    fixed = materialise(docs.withColumn(uid, F.monotonically_increasing_id()))
+    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
     found = find(fixed.select(uid, text_of(text_col).alias("text_")), uid, "text_")
-    ordered = found.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(spans))
+    ordered = materialise(found.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(spans)))
     text = F.col(text_col)
     # a running end over the sorted spans: what stands before a span is kept from the end so far
     step = F.aggregate(
@@ -131,7 +132,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .alias("parts"),
         ),
     )
-    marked = fixed.join(ordered, uid, "left").withColumn(done, step)
+    marked = pick(fixed, ordered, uid, "left").withColumn(done, step)
     tail = F.substring(text, (F.col(done)["at"] + 1).cast("int"), F.length(text))
     out = marked.withColumn(new, F.when(F.col(spans).isNull(), text).otherwise(F.concat(F.array_join(F.col(done)["parts"], ""), tail)))
     cols = {text_col: F.col(new)}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from linkspan.llm.common import WORDS, free_name, map_texts, materialise, small_batches, table
+from linkspan.llm.common import WORDS, free_name, map_texts, materialise, pick, small_batches, stable, table
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -130,20 +130,19 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
 
 def clean(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, without their common lines; the columns stay as they are (n_chars, where it is one, follows the text)."""
-    uid, gone, removed = (free_name(docs, n) for n in ("row_uid", "gone_lines", "removed_from"))
-    fixed = materialise(docs.withColumn(uid, F.monotonically_increasing_id()))
+    uid, gone, host = (free_name(docs, n) for n in ("row_uid", "gone_lines", "host_of_lines"))
+    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
     verdict, common = judge(fixed, host_col, text_col, keep=(uid,))
-    passed = fixed.join(verdict.where("kept").select(uid, F.col("removed_words").alias(removed)), uid)
-    n = common.count()
-    if not n:
-        return passed.select(*docs.columns)
-    hashes = common.groupBy("host").agg(F.collect_set("line_hash").alias(gone))  # at most lines of a text / LINE_SHARE for each host
-    side = F.broadcast(hashes) if n <= BROADCAST_LINES else hashes
-    touched = passed.where(F.col(removed) > 0).alias("t").join(side.alias("c"), F.col(f"t.{host_col}").cast("string").eqNullSafe(F.col("c.host")), "left")
-    stripped = _strip(touched.select(*(F.col(f"t.{c}").alias(c) for c in docs.columns), F.col(f"c.{gone}").alias(gone)), text_col, gone)
+    changed = materialise(verdict.where(~F.col("kept") | (F.col("removed_words") > 0)).select(uid, "kept"))
+    untouched = pick(fixed, changed.select(uid), uid, "left_anti").select(*docs.columns)
+    hashes = common.groupBy(F.col("host").alias(host)).agg(F.collect_set("line_hash").alias(gone))  # at most lines of a text / LINE_SHARE for each host
+    side = F.broadcast(hashes) if common.count() <= BROADCAST_LINES else hashes
+    touched = pick(fixed, changed.where("kept").select(uid), uid, "left_semi")
+    touched = touched.join(side, touched[host_col].cast("string").eqNullSafe(F.col(host)), "left").select(*docs.columns, gone)
+    stripped = _strip(touched, text_col, gone)
     if "n_chars" in docs.columns:
         stripped = stripped.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return passed.where(F.col(removed) == 0).select(*docs.columns).unionByName(stripped.select(*docs.columns))
+    return untouched.unionByName(stripped.select(*docs.columns))
 
 
 def _signed(line: str) -> int:
