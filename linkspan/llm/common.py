@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -86,6 +87,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle workers stay, and stand beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], per_batch: Callable[[], Callable[[list], dict[str, list]]], schema: str) -> DataFrame:
     """`keep`, and the columns that a function makes of the texts (None where null), batch by batch.
 
@@ -108,5 +117,6 @@ def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], per_batch: Ca
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[n], t) for n, t in types)], names=[*keep, *(n for n, _ in types)])
         finally:
             gc.enable()
+            give_back()
 
     return rows.mapInArrow(run, out)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import free_name, map_texts, materialise, table
+from linkspan.llm.common import free_name, map_texts, materialise, pick, stable, table
 
 WINDOW = 8
 SHORTEST = 5
@@ -36,7 +36,7 @@ COVERED = 0.5
 LONG_RUN = 13
 CONSISTENT = 0.8
 BROADCAST_WINDOWS = 2_000_000
-WORDS_CACHED = 300_000
+WORDS_CACHED = 150_000
 #: Units of measure.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes ounce ounces oz pound pounds lb lbs "
@@ -89,8 +89,8 @@ class Vocabulary(dict):
         return at
 
 
-def canonical(texts: list, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over all texts in a row: the tokens' hashes, whether each is a slot, its word's number, and each text's end."""
+def canonical(texts: list, vocabulary: Vocabulary, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over all texts in a row: the tokens' hashes, whether each is a slot, its word's number, and each text's end. Without names these are words like any other."""
     if len(vocabulary) > WORDS_CACHED:
         vocabulary.forget()
     get = vocabulary.__getitem__
@@ -110,7 +110,7 @@ def canonical(texts: list, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarr
     if blank.any():
         after = np.concatenate([[False], blank[:-1]])
         opens |= after
-    name = capital[words] & ~opens
+    name = capital[words] & ~opens & names
     tokens = np.where(name, NAME_SLOT, h[words])
     slots = slot[words] | name
     counts = np.concatenate([[0], np.cumsum(keep)])
@@ -136,14 +136,19 @@ def _slot_words(slots: np.ndarray, words: np.ndarray, at: int, length: int, voca
     return [vocabulary.word[w] for w, s in zip(words[at : at + length], slots[at : at + length], strict=True) if s]
 
 
-def _all_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, int, list[str]]]:
-    """(hash, place, slot words) of an item's windows."""
-    tokens, slots, words, ends = canonical([text], vocabulary)
-    length = min(WINDOW, len(tokens))
-    if length < SHORTEST:
-        return []
-    h, counts = windows(tokens, slots, ends, length)
-    return [(int(x), i, length, _slot_words(slots, words, i, length, vocabulary)) for i, (x, c) in enumerate(zip(h.view(np.int64), counts, strict=True)) if c]
+def _all_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, int, int, list[str]]]:
+    """(hash, place, length, slot words) of an item's windows, each with its names as slots and as words: texts in one case show no names."""
+    out: dict[tuple[int, int], tuple] = {}
+    for names in (True, False):
+        tokens, slots, words, ends = canonical([text], vocabulary, names)
+        length = min(WINDOW, len(tokens))
+        if length < SHORTEST:
+            return []
+        h, counts = windows(tokens, slots, ends, length)
+        for i, (x, c) in enumerate(zip(h.view(np.int64).tolist(), counts, strict=True)):
+            if c:
+                out.setdefault((x, i), (x, i, length, _slot_words(slots, words, i, length, vocabulary)))
+    return list(out.values())
 
 
 WINDOW_TYPE = "array<struct<h:bigint,at:int,len:int,slots:array<string>>>"
@@ -195,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), F.monotonically_increasing_id().alias("item"))
     items = map_texts(items, "text", ("item_id", "item"), _item_windows, f"w {WINDOW_TYPE}")
-    items = materialise(items.select("item_id", "item", F.size("w").alias("n_windows"), F.explode("w").alias("w")).select("item_id", "item", "n_windows", "w.*"))
+    items = materialise(items.select("item_id", "item", F.size(F.array_distinct(F.transform("w", lambda x: x["at"]))).alias("n_windows"), F.explode("w").alias("w")).select("item_id", "item", "n_windows", "w.*"))
     lengths = sorted(r.len for r in items.select("len").distinct().collect())
     known = items.select("h").distinct()
     wanted = None
@@ -220,9 +225,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that leak an item."""
     uid = free_name(docs, "row_uid")
-    fixed = materialise(docs.withColumn(uid, F.monotonically_increasing_id()))
-    gone = leaks(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), benchmark, "id_", "text_").select(F.col("doc_id").alias(uid)).distinct()
-    return fixed.join(gone, uid, "left_anti").select(*docs.columns)
+    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
+    found = leaks(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), benchmark, "id_", "text_")
+    gone = materialise(found.select(F.col("doc_id").alias(uid)).distinct())
+    return pick(fixed, gone, uid, "left_anti").select(*docs.columns)
 
 
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ HEAVY = 200_000
 BATCH_COUNT = 3
 SKETCH = 8
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
-WORDS_CACHED = 300_000
+WORDS_CACHED = 150_000
 
 
 class WordHashes(dict):

@@ -9,9 +9,10 @@ looked up, and the best unused neighbours fill the window, greedily by score. Th
 where the window ends, and its rest opens the next sequence as the seed. So all sequences but a
 shard's last are full.
 
-Tokens come from a cache of white-space separated chunks: the tokenizer splits at white space
-before anything else, so a text's ids are those of its chunks in turn. Texts with characters beyond
-the plain ones (see ``PLAIN``) or with the tokenizer's own marks go through the tokenizer as a whole.
+Tokens come from a cache of white-space separated chunks: the tokenizer never joins across white
+space, so a text's ids are those of its chunks in turn, and a chunk's those of its pieces. Texts with
+characters beyond the plain ones (see ``PLAIN``) or with the tokenizer's own marks go through the
+tokenizer as a whole.
 
 Defined cases: a null or empty text is the one id ``END``; null ids and repeated rows are rows like
 any other, a row's pieces never mix with another's; texts longer than a sequence are cut into as
@@ -21,14 +22,16 @@ go to the smaller row number.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from linkspan.llm.common import map_texts, materialise, table
 
@@ -40,72 +43,123 @@ CELLS = 64
 MAX_SHARDS = 65_536
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-CHUNKS_CACHED = 400_000
-#: Characters of which it is sure that the tokenizer treats chunks between white space alone.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]*")
+#: Chunks and pieces that a Python worker keeps, from task to task (about 170 bytes each).
+CACHED = 700_000
+#: Characters of which it is sure where the tokenizer parts them: ASCII, accented Latin letters and general punctuation.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*")
+#: Fixed value: the pattern of tokenizers that the cache serves.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The tokenizer's own pieces of a lower-cased chunk of such characters.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+
+
+def pieces_of(low: str) -> tuple | list:
+    """The same as PIECES.findall; words, and words before one mark, are told without a search."""
+    if low.isalpha():
+        return (low,)
+    if low[-1] in ".,;:!?" and low[:-1].isalpha():
+        return (low[:-1], low[-1])
+    return PIECES.findall(low)
 
 
 class Chunks(dict):
-    """Chunks of text to their ids as bytes (two each where ids fit, else four)."""
+    """Chunks of text, and pieces of chunks, to their ids as bytes (two each where ids fit, else four).
+
+    An unknown chunk is put together from its pieces, and unknown pieces are encoded many at a
+    time: a piece's last id, and no other, is of a token that ends a word.
+    """
 
     def __init__(self, tokenizer, kind: np.dtype):
         super().__init__()
         self.tokenizer, self.kind = tokenizer, kind
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        return ids
-
-    def learn(self, chunks: set[str]) -> None:
-        """All that is not known yet, in one call."""
-        if len(self) > CHUNKS_CACHED:
+        told = json.loads(tokenizer.to_str())
+        parts = [x["pattern"].get("Regex") for x in (told["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        #: Whether the tokenizer parts texts as PIECES does; any other is given whole texts.
+        self.applies = parts == [SPLIT] and told["model"].get("end_of_word_suffix") == "</w>"
+        self.slim = Tokenizer.from_str(json.dumps(told))  # for pieces, which need no normalising and no search
+        self.slim.normalizer = normalizers.Sequence([])
+        self.slim.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def of(self, chunks: set[str]) -> dict[str, bytes]:
+        """The chunks' ids, in a dictionary small enough to be read fast."""
+        if len(self) > CACHED:
             self.clear()
-        new = [c for c in chunks if c not in self]
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, self.kind).tobytes()
+        get = self.get
+        found = {c: get(c) for c in chunks}
+        whole, parts = [], []
+        for c, ids in found.items():
+            if ids is None:
+                low = c.lower()
+                if low == c and c.isalpha():
+                    whole.append(c)  # a piece itself
+                else:
+                    parts.append((c, pieces_of(low)))
+        new = list({*whole, *(p for _, ps in parts for p in ps if p not in self)})
+        for i in range(0, len(new), 1000):
+            some = new[i : i + 1000]
+            lines = [" ".join(some[k : k + 100]) for k in range(0, len(some), 100)]
+            ids = np.array([x for e in self.slim.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                raw, at = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+                self.update(zip(some, map(raw.__getitem__, map(slice, [0, *at], at)), strict=True))
+            else:  # never seen; each by itself is right in any case
+                self.update((x, self.encode(x).tobytes()) for x in some)
+        for c in whole:
+            found[c] = self[c]
+        for c, ps in parts:
+            found[c] = self[c] = self[ps[0]] if len(ps) == 1 else b"".join([self[p] for p in ps])
+        return found
+
+
+_kept: dict[str, Chunks] = {}
+
+
+def chunks_of(path: str, end: int) -> Chunks:
+    """This worker's cache for a tokenizer file."""
+    if path not in _kept:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tokenizer = Tokenizer.from_file(path)
+        _kept.clear()
+        _kept[path] = Chunks(tokenizer, np.dtype("<u2" if max(tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"))
+    return _kept[path]
 
 
 def _ids(path: str, end: int):
     """A function from texts to their ids and what is known of them."""
 
     def per_batch():
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        chunks = chunks_of(path, end)
+        tokenizer, kind = chunks.tokenizer, chunks.kind
         marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        kind = np.dtype("<u2" if max(tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
-        chunks = Chunks(tokenizer, kind)
         closing = np.array([end], kind).tobytes()
 
-        def one(text: str | None) -> bytes:
-            if not text:
-                return closing
-            if not PLAIN.fullmatch(text) or any(m in text for m in marks):
-                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes() + closing
-            return b"".join(map(chunks.__getitem__, text.split())) + closing
+        def some(texts: list) -> list[bytes]:
+            parts = [t.split() if t and chunks.applies and PLAIN.fullmatch(t) and not any(m in t for m in marks) else None for t in texts]
+            get = chunks.of(set().union(*(p for p in parts if p))).__getitem__
+            return [
+                b"".join(map(get, p)) + closing if p is not None else chunks.encode(t).tobytes() + closing if t else closing
+                for t, p in zip(texts, parts, strict=True)
+            ]
 
         def run(texts: list) -> dict[str, list]:
-            plain = [t for t in texts if t and PLAIN.fullmatch(t)]
-            for i in range(0, len(plain), 50):
-                chunks.learn(set().union(*map(str.split, plain[i : i + 50])))
-            ids = [one(t) for t in texts]
-            numbers = [np.frombuffer(x, kind).astype(np.uint64) for x in ids]
-            return {
-                "ids": ids,
-                "doc_tokens": [len(x) for x in numbers],
-                "least": [int(((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).min()) for x in numbers],
-            }
+            ids = [x for i in range(0, len(texts), 50) for x in some(texts[i : i + 50])]
+            numbers = [np.frombuffer(x, kind) for x in ids]
+            return {"ids": ids, "doc_tokens": [len(x) for x in numbers], "least": [int((x.astype(np.uint32) * np.uint32(0x9E3779B1)).min()) for x in numbers]}
 
         return run
 
     return per_batch
 
 
-def rank(index: tuple, seed: int, used: np.ndarray) -> np.ndarray:
-    """The unused documents that share one of the seed's query terms, by BM25 score."""
+def rank(index: tuple, seed: int, used: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The unused documents that share one of the seed's query terms, by BM25 score; the first `most` at least, and all of equal score."""
     starts, posting, weight, idf, own = index
     terms = own(seed)
     terms = terms[np.lexsort((terms, -idf[terms]))][:QUERY_TERMS]
@@ -115,7 +169,12 @@ def rank(index: tuple, seed: int, used: np.ndarray) -> np.ndarray:
     spans = [slice(starts[t], starts[t + 1]) for t in terms]
     found = np.concatenate([posting[s] for s in spans])
     score = np.bincount(found, weights=np.concatenate([weight[s] * idf[t] for s, t in zip(spans, terms, strict=True)]), minlength=len(used))
-    open_ = np.flatnonzero((score > 0) & ~used)
+    score[used] = 0
+    if most is not None and len(score) > most:
+        least = np.partition(score, len(score) - most)[len(score) - most]
+        open_ = np.flatnonzero(score >= least if least > 0 else score > 0)
+    else:
+        open_ = np.flatnonzero(score > 0)
     return open_[np.lexsort((open_, -score[open_]))]
 
 
@@ -124,11 +183,12 @@ def build_index(documents: list[np.ndarray]) -> tuple:
     pairs = [np.unique(x, return_counts=True) for x in documents]
     sizes = np.array([len(t) for t, _ in pairs])
     doc = np.repeat(np.arange(len(pairs), dtype=np.int32), sizes)
-    term = np.concatenate([t for t, _ in pairs]).astype(np.int64)
+    raw = np.concatenate([t for t, _ in pairs])
+    order = np.argsort(raw, kind="stable")  # short numbers are sorted by radix
+    term = raw.astype(np.int64)
     tf = np.concatenate([c for _, c in pairs]).astype(np.float32)
     lengths = np.array([len(x) for x in documents], dtype=np.float32)
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-    order = np.argsort(term, kind="stable")
     df = np.bincount(term)
     starts = np.concatenate([[0], np.cumsum(df)])
     n = len(documents)
@@ -156,11 +216,14 @@ def plan(documents: list[np.ndarray], sequence: int = SEQUENCE) -> list[tuple[in
                 used[at] = True
                 queue = [seed]
             else:
-                room, best = sequence - fill, []
-                for d in rank(index, seed, used).tolist():
-                    best.append(d)
-                    room -= len(documents[d])
-                    if room <= 0:
+                for most in (16, None):  # few fill a window; where they do not, all are ranked
+                    room, best = sequence - fill, []
+                    for d in rank(index, seed, used, most).tolist():
+                        best.append(d)
+                        room -= len(documents[d])
+                        if room <= 0:
+                            break
+                    if room <= 0 or len(best) < 16:
                         break
                 used[best] = True
                 queue, seed = best, -1
@@ -194,8 +257,6 @@ def _pack(kind: str, sequence: int):
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """The pieces of all rows of docs: doc_id, uid (the row's number), doc_tokens, start, length, ids_crc32, sequence_id and offset."""
-    from tokenizers import Tokenizer
-
     kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
