@@ -7,9 +7,11 @@ with ``MIN_BIGRAM`` or more there; both models know exactly these. With c the co
 ``PRIOR``,
 
     p(w)   = (c(w) + 1) / (N + |V| + 1)            for each word of the vocabulary and the unknown one
-    p(w|v) = (c(v w) + beta p(w)) / (c(v) + beta)  where c(v w) is 0 for bigrams outside the vocabulary
+    p(w|v) = (c(v w) + (beta + r(v)) p(w)) / (c(v) + beta)  where c(v w) is 0 for bigrams outside the vocabulary
 
-and a text's first word has p(w). A row's losses are the mean of -ln p over its words; its score is
+and a text's first word has p(w). r(v) is the count of v that no known bigram takes up, in the same
+model: what was left out goes back to the words, so both models sum to one after every word. Without
+it (``hand_back`` false) the larger corpus loses most, and texts unlike the target look closest. A row's losses are the mean of -ln p over its words; its score is
 the target's loss minus the background's: the lower, the closer to the target.
 
 The vocabulary grows with the corpus. Up to ``BROADCAST_GRAMS`` words and bigrams (24 bytes each)
@@ -42,7 +44,7 @@ BROADCAST_GRAMS = 4_000_000
 BROADCAST_IDS = 2_000_000
 #: Counts that a task gathers before it hands them on.
 PENDING = 2_000_000
-TOTAL, WORD, BIGRAM = 0, 1, 2
+TOTAL, WORD, BIGRAM, BEFORE = 0, 1, 2, 3
 
 
 def words(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -87,11 +89,11 @@ def _out(kind: int, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
 
 
 def _count(rows: DataFrame, all_bigrams: bool, known=None) -> DataFrame:
-    """kind, key and the counts t (target) and b (all rows), from rows (text, good); of the known bigrams only, where these are given."""
+    """kind, key and the counts t (target) and b (all rows), from rows (text, good); of the known bigrams only, where these are given, and then of the words before them too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        tallies = {WORD: Tally(), BIGRAM: Tally()}
+        tallies = {WORD: Tally(), BIGRAM: Tally(), BEFORE: Tally()}
         total = np.zeros((1, 2), np.int64)
         for batch in batches:
             good = batch.column("good").to_pylist()
@@ -107,6 +109,9 @@ def _count(rows: DataFrame, all_bigrams: bool, known=None) -> DataFrame:
                     at = np.minimum(np.searchsorted(known.value, own), max(len(known.value) - 1, 0))
                     hit = known.value[at] == own if len(known.value) else np.zeros(len(own), bool)
                     own, n = own[hit], n[hit]
+                    every, before = np.concatenate([bigrams(h) for h in texts]), np.concatenate([h[:-1] for h in texts])
+                    seen, place = np.unique(every, return_index=True)
+                    found.append((BEFORE, before[place[np.searchsorted(seen, own)]], n))
                 found.append((BIGRAM, own, n))
             for kind, own, n in found:
                 if tallies[kind].add(own, n):
@@ -159,7 +164,7 @@ def _score_here(model):
             for k, name in enumerate(("target_loss", "background_loss")):
                 p = m["p"][k][at]
                 before = np.concatenate([[size], at[:-1]]) if len(at) else at
-                given = (m["pair"][k][pair] + PRIOR * p) / (m["count"][k][before] + PRIOR)
+                given = (m["pair"][k][pair] + (PRIOR + m["rest"][k][before]) * p) / (m["count"][k][before] + PRIOR)
                 loss = np.bincount(text, weights=-np.log(np.where(first, p, given)), minlength=len(sizes))
                 out[name] = [x / n if n else None for x, n in zip(loss.tolist(), out["n_tokens"], strict=True)]
             return out
@@ -186,8 +191,8 @@ def _pairs():
     return lambda texts: {"pairs": [one(t) for t in texts]}
 
 
-def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every row; good_ids has one column of ids."""
+def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_grams: int = BROADCAST_GRAMS, hand_back: bool = False) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of every row; good_ids has one column of ids. hand_back: whether counts of unknown bigrams go back to the words."""
     spark = docs.sparkSession
     good = good_ids.select(F.col(good_ids.columns[0]).alias("good_id")).where("good_id is not null").distinct()
     side = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
@@ -204,24 +209,36 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
     if here:
         v = _by_key(vocabulary.select("key", "t", "b"))
         known = spark.sparkContext.broadcast(np.unique(inventory.select("key").toArrow()["key"].to_numpy().view(np.uint64)))
-        i = _by_key(_count(flagged, all_bigrams=False, known=known).where(F.col("kind") == BIGRAM).select("key", "t", "b"))
-        model = {"words": v["key"], "bigrams": i["key"], "p": [], "count": [], "pair": []}
+        met = materialise(_count(flagged, all_bigrams=False, known=known).where(F.col("kind") != TOTAL))
+        i, before = (_by_key(met.where(F.col("kind") == kind).select("key", "t", "b")) for kind in (BIGRAM, BEFORE))
+        place = np.searchsorted(v["key"], before["key"])  # a known bigram's words are known
+        model = {"words": v["key"], "bigrams": i["key"], "p": [], "count": [], "pair": [], "rest": []}
         for k, name in enumerate("tb"):
             count = np.append(v[name].astype(np.float64), unknown[k])
             model["count"].append(count)
             model["p"].append((count + 1) / (total[k] + size + 1))
             model["pair"].append(np.append(i[name].astype(np.float64), 0.0))
+            rest = count.copy() if hand_back else np.zeros(size + 1)
+            if hand_back:
+                rest[place] -= before[name]
+            model["rest"].append(rest)
         out = map_texts(rows, "text", ("doc_id",), _score_here(spark.sparkContext.broadcast(model)), "n_tokens long, target_loss double, background_loss double")
     else:
         full = _count(flagged, all_bigrams=True).where(F.col("kind") == BIGRAM).join(inventory.select("key"), "key", "left_semi").select(F.col("key").alias("vw"), F.col("t").alias("vw_t"), F.col("b").alias("vw_b"))
         each = map_texts(rows, "text", ("uid",), _pairs, "pairs array<struct<v:bigint,w:bigint,vw:bigint,n:bigint>>").select("uid", F.explode("pairs").alias("x")).select("uid", "x.*")
+        heads = map_texts(flagged.where("good"), "text", ("uid",), _pairs, "pairs array<struct<v:bigint,w:bigint,vw:bigint,n:bigint>>").select(F.explode("pairs").alias("x")).where("x.vw is not null")
+        taken = heads.groupBy("x.vw").agg(F.min("x.v").alias("v")).join(full, "vw").groupBy("v").agg(F.sum("vw_t").alias("taken_t"), F.sum("vw_b").alias("taken_b"))
         one = vocabulary.select(F.col("key").alias("v"), F.col("t").alias("v_t"), F.col("b").alias("v_b"))
+        if hand_back:
+            one = one.join(taken, "v", "left")
         two = vocabulary.select(F.col("key").alias("w"), F.col("t").alias("w_t"), F.col("b").alias("w_b"))
         each = each.join(two, "w", "left").join(one, "v", "left").join(full, "vw", "left")
 
         def loss(k: int, name: str) -> Column:
             p = (F.coalesce(f"w_{name}", F.lit(unknown[k])) + 1) / F.lit(float(total[k] + size + 1))
-            given = (F.coalesce(f"vw_{name}", F.lit(0)) + PRIOR * p) / (F.coalesce(f"v_{name}", F.lit(unknown[k])) + PRIOR)
+            count = F.coalesce(f"v_{name}", F.lit(unknown[k]))
+            rest = count - F.coalesce(f"taken_{name}", F.lit(0)) if hand_back else F.lit(0)
+            given = (F.coalesce(f"vw_{name}", F.lit(0)) + (PRIOR + rest) * p) / (count + PRIOR)
             return F.sum(-F.log(F.when(F.col("vw").isNull(), p).otherwise(given)) * F.col("n")) / F.sum("n")
 
         sums_ = each.groupBy("uid").agg(F.sum("n").alias("n_tokens"), loss(0, "t").alias("target_loss"), loss(1, "b").alias("background_loss"))
@@ -232,4 +249,4 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document; the target is the documents that labels call good and not toxic."""
     labels = table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return score(table(spark, sf_dir, "documents"), labels)
+    return score(table(spark, sf_dir, "documents"), labels, hand_back=True)
