@@ -11,6 +11,12 @@ are found in it, and the slots agree: each value that a placeholder stands for i
 replaced by one value throughout, for ``CONSISTENT`` of the slots met. So a question with its names
 and numbers exchanged is caught, and a text that merely has the same shape is not.
 
+A document may hold an item several times, each time with other values. Both conditions are therefore
+asked of the whole document and of each occurrence, and one that meets them is enough: matches at one
+distance between their places in the document and in the item, and matches whose distances follow one
+another by a quarter of the item at most, as words put in or left out shift them. The figures are the
+whole document's where it meets the conditions, else the best occurrence's.
+
 The benchmark's windows are broadcast while they are ``BROADCAST_WINDOWS`` at most (8 bytes each);
 beyond, the documents' windows are shuffled to them.
 
@@ -26,6 +32,7 @@ import re
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkspan.llm.common import free_name, map_texts, materialise, pick, stable, table
@@ -37,6 +44,8 @@ LONG_RUN = 13
 CONSISTENT = 0.8
 BROADCAST_WINDOWS = 2_000_000
 WORDS_CACHED = 300_000
+#: Where the conditions are asked: of the whole document, of one shift against the item, of shifts near one another.
+WHOLE, SHIFT, NEAR = 0, 1, 2
 #: Units of measure.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes ounce ounces oz pound pounds lb lbs "
@@ -195,12 +204,26 @@ def _document_windows(lengths: list[int], wanted):
     return per_batch
 
 
+def _occurrences(met: DataFrame) -> DataFrame:
+    """Each match once for its document, once for its own shift, and once for the shifts near one another, as `scope`."""
+    own = ["uid", "item"]
+    shifts = met.select(*own, "tokens", "shift").distinct()
+    by_shift = W.partitionBy(*own).orderBy("shift")
+    apart = F.coalesce((4 * (F.col("shift") - F.lag("shift").over(by_shift)) > F.col("tokens")).cast("int"), F.lit(0))
+    near = shifts.withColumn("apart", apart).select(*own, "shift", F.sum("apart").over(by_shift).cast("int").alias("near"))
+    scopes = ((WHOLE, F.lit(0)), (SHIFT, F.col("shift")), (NEAR, F.col("near")))
+    scope = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), n.cast("int").alias("n")) for k, n in scopes)))
+    return met.join(near, [*own, "shift"]).withColumn("scope", scope)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, its row number `uid`, item_id, n_windows of the item, n_matched of them and consistency, for each document and item that it leaks."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), F.monotonically_increasing_id().alias("item"))
     items = map_texts(items, "text", ("item_id", "item"), _item_windows, f"w {WINDOW_TYPE}")
-    items = materialise(items.select("item_id", "item", F.size(F.array_distinct(F.transform("w", lambda x: x["at"]))).alias("n_windows"), F.explode("w").alias("w")).select("item_id", "item", "n_windows", "w.*"))
+    n_windows = F.size(F.array_distinct(F.transform("w", lambda x: x["at"])))
+    tokens = F.array_max(F.transform("w", lambda x: x["at"] + x["len"]))
+    items = materialise(items.select("item_id", "item", n_windows.alias("n_windows"), tokens.alias("tokens"), F.explode("w").alias("w")).select("item_id", "item", "n_windows", "tokens", "w.*"))
     lengths = sorted(r.len for r in items.select("len").distinct().collect())
     known = items.select("h").distinct()
     wanted = None
@@ -210,16 +233,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     if not lengths:
         rows, lengths, wanted = rows.limit(0), [WINDOW], None
     found = map_texts(rows, "text", ("doc_id", "uid"), _document_windows(lengths, wanted), f"w {WINDOW_TYPE}")
-    found = found.where(F.size("w") > 0).select("doc_id", "uid", F.explode("w").alias("w")).select("doc_id", "uid", F.col("w.h").alias("h"), F.col("w.slots").alias("slots"))
-    met = materialise(found.join(items.select("item_id", "item", "n_windows", F.col("at").alias("place"), "h", F.col("slots").alias("item_slots")), "h"))
-    matched = met.groupBy("uid", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"), F.count_distinct("place").cast("int").alias("n_matched"))
+    found = found.where(F.size("w") > 0).select("doc_id", "uid", F.explode("w").alias("w")).select("doc_id", "uid", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
+    met = found.join(items.select("item_id", "item", "n_windows", "tokens", F.col("at").alias("place"), "h", F.col("slots").alias("item_slots")), "h")
+    met = _occurrences(materialise(met.withColumn("shift", F.col("at") - F.col("place"))))
+    one = ["uid", "item", "scope"]
+    matched = met.groupBy(*one).agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"), F.count_distinct("place").cast("int").alias("n_matched"))
     matched = matched.where((F.col("n_matched") >= COVERED * F.col("n_windows")) | (F.col("n_matched") >= LONG_RUN))
-    pairs = met.where(F.size("item_slots") > 0).select("uid", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    values = pairs.groupBy("uid", "item", "s.item_slots", "s.slots").agg(F.count(F.lit(1)).alias("n"))
-    each = values.groupBy("uid", "item", "item_slots").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    agreed = each.groupBy("uid", "item").agg((F.sum("best") / F.sum("n")).alias("consistency"))
-    out = matched.join(agreed, ["uid", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return out.where(F.col("consistency") >= CONSISTENT).select("doc_id", "uid", "item_id", "n_windows", "n_matched", "consistency")
+    pairs = met.where(F.size("item_slots") > 0).select(*one, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    values = pairs.groupBy(*one, "s.item_slots", "s.slots").agg(F.count(F.lit(1)).alias("n"))
+    each = values.groupBy(*one, "item_slots").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    agreed = each.groupBy(*one).agg((F.sum("best") / F.sum("n")).alias("consistency"))
+    out = matched.join(agreed, one, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= CONSISTENT)
+    figures = F.struct("doc_id", "item_id", "n_windows", "n_matched", "consistency")
+    order = F.struct(F.col("scope.kind") == WHOLE, "n_matched", "consistency")
+    best = out.groupBy("uid", "item").agg(F.max_by(figures, order).alias("x"))
+    return best.select("x.doc_id", "uid", "x.item_id", "x.n_windows", "x.n_matched", "x.consistency")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
