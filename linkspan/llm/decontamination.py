@@ -6,6 +6,12 @@ name is a capitalised word within a sentence. Windows of ``WINDOW`` canonical to
 joined; an item shorter than that is one window of its own length, if it has ``SHORTEST`` tokens.
 Windows of which less than half is left after the placeholders are no evidence.
 
+Every item has plain windows too, of its words and numbers as they stand, an item of fewer than
+``WINDOW`` words being one window whatever its length: copies of items of which the placeholders leave
+little, and of short ones, are found by these. An item of one word is found wherever the word stands.
+Either kind of windows is judged by itself, and the figures are those of the templates where these
+meet the conditions. Plain windows have no slots, so their consistency is 1.
+
 A document leaks an item when at least ``COVERED`` of the item's windows, or ``LONG_RUN`` of them,
 are found in it, and the slots agree: each value that a placeholder stands for in the item must be
 replaced by one value throughout, for ``CONSISTENT`` of the slots met. So a question with its names
@@ -57,6 +63,8 @@ QUANTITY = re.compile(r"[+-]?[0-9][0-9.,]*([a-z]+)")
 ENDS = re.compile(r"[.!?:]\W*\Z")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Added to the length from which a plain window's hash starts: none is taken for a template's.
+PLAIN = 1 << 32
 
 
 def _h(s: str) -> int:
@@ -75,12 +83,13 @@ class Vocabulary(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.hash, self.slot, self.capital, self.ends, self.word = [], [], [], [], []
+        self.hash, self.plain, self.slot, self.capital, self.ends, self.word = [], [], [], [], [], []
 
     def __missing__(self, word: str) -> int:
         core = EDGES.sub("", word)
         low = core.lower()
         h, slot = np.uint64(_h(low)), True
+        self.plain.append(h)
         if NUMBER.fullmatch(low):
             h = NUMBER_SLOT
         elif low in UNITS:
@@ -126,17 +135,18 @@ def canonical(texts: list, vocabulary: Vocabulary, names: bool = True) -> tuple[
     return tokens[keep], slots[keep], words[keep], counts[ends]
 
 
-def windows(tokens: np.ndarray, slots: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's hash, and whether it counts: it lies within one text and half of it or more are words."""
+def windows(tokens: np.ndarray, slots: np.ndarray | None, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's hash, and whether it counts: it lies within one text and half of it or more are words. Without slots the tokens are plain."""
     n = len(tokens) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.full(n, np.uint64(length))
+    h = np.full(n, np.uint64(length if slots is not None else PLAIN + length))
     few = np.zeros(n, np.int64)
     for k in range(length):
         h = (h ^ tokens[k : k + n]) * MULTIPLIER
         h ^= h >> np.uint64(29)
-        few += slots[k : k + n]
+        if slots is not None:
+            few += slots[k : k + n]
     text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
     return h, (text[:n] == text[length - 1 :]) & (2 * few <= length)
 
@@ -146,7 +156,7 @@ def _slot_words(slots: np.ndarray, words: np.ndarray, at: int, length: int, voca
 
 
 def _all_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, int, int, list[str]]]:
-    """(hash, place, length, slot words) of an item's windows, each with its names as slots and as words: texts in one case show no names."""
+    """(hash, place, length, slot words) of an item's template windows, each with its names as slots and as words: texts in one case show no names."""
     out: dict[tuple[int, int], tuple] = {}
     for names in (True, False):
         tokens, slots, words, ends = canonical([text], vocabulary, names)
@@ -160,19 +170,31 @@ def _all_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, in
     return list(out.values())
 
 
-WINDOW_TYPE = "array<struct<h:bigint,at:int,len:int,slots:array<string>>>"
+def _plain_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, int, int]]:
+    """(hash, place, length) of an item's plain windows."""
+    _, _, words, ends = canonical([text], vocabulary)
+    length = min(WINDOW, len(words))
+    if not length:
+        return []
+    h, _ = windows(np.array(vocabulary.plain, np.uint64)[words], None, ends, length)
+    return [(x, i, length) for i, x in enumerate(h.view(np.int64).tolist())]
+
+
+WINDOW_TYPE = "array<struct<h:bigint,at:int,len:int,plain:boolean,slots:array<string>>>"
 
 
 def _item_windows():
     vocabulary = Vocabulary()
 
     def run(texts: list) -> dict[str, list]:
-        return {"w": [[{"h": h, "at": i, "len": n, "slots": s} for h, i, n, s in _all_windows(t, vocabulary)] for t in texts]}
+        template = [[{"h": h, "at": i, "len": n, "plain": False, "slots": s} for h, i, n, s in _all_windows(t, vocabulary)] for t in texts]
+        plain = [[{"h": h, "at": i, "len": n, "plain": True, "slots": []} for h, i, n in _plain_windows(t, vocabulary)] for t in texts]
+        return {"w": template, "p": plain}
 
     return run
 
 
-def _document_windows(lengths: list[int], wanted):
+def _document_windows(lengths: list[tuple[bool, int]], wanted):
     """The windows that the benchmark has, or all where wanted is None."""
 
     def per_batch():
@@ -185,8 +207,10 @@ def _document_windows(lengths: list[int], wanted):
         def run(texts: list) -> dict[str, list]:
             tokens, slots, words, ends = canonical(texts, vocabulary)
             out: list[list] = [[] for _ in texts]
-            for length in lengths:
-                h, counts = windows(tokens, slots, ends, length)
+            as_they_stand = np.array(vocabulary.plain, np.uint64)[words]
+            starts = np.concatenate([[0], ends])
+            for plain, length in lengths:
+                h, counts = windows(as_they_stand, None, ends, length) if plain else windows(tokens, slots, ends, length)
                 if known is not None:
                     hit = np.flatnonzero(counts & sieve[(h >> np.uint64(42)).astype(np.int64)])
                     at = np.minimum(np.searchsorted(known, h[hit]), len(known) - 1)
@@ -194,9 +218,8 @@ def _document_windows(lengths: list[int], wanted):
                 else:
                     hit = np.flatnonzero(counts)
                 text = np.searchsorted(ends, hit, side="right")
-                starts = np.concatenate([[0], ends])
                 for i, t in zip(hit.tolist(), text.tolist(), strict=True):
-                    out[t].append({"h": int(h[i : i + 1].view(np.int64)[0]), "at": i - int(starts[t]), "len": length, "slots": _slot_words(slots, words, i, length, vocabulary)})
+                    out[t].append({"h": int(h[i : i + 1].view(np.int64)[0]), "at": i - int(starts[t]), "len": length, "plain": plain, "slots": [] if plain else _slot_words(slots, words, i, length, vocabulary)})
             return {"w": out}
 
         return run
@@ -206,7 +229,7 @@ def _document_windows(lengths: list[int], wanted):
 
 def _occurrences(met: DataFrame) -> DataFrame:
     """Each match once for its document, once for its own shift, and once for the shifts near one another, as `scope`."""
-    own = ["uid", "item"]
+    own = ["uid", "item", "plain"]
     shifts = met.select(*own, "tokens", "shift").distinct()
     by_shift = W.partitionBy(*own).orderBy("shift")
     apart = F.coalesce((4 * (F.col("shift") - F.lag("shift").over(by_shift)) > F.col("tokens")).cast("int"), F.lit(0))
@@ -220,23 +243,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, its row number `uid`, item_id, n_windows of the item, n_matched of them and consistency, for each document and item that it leaks."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), F.monotonically_increasing_id().alias("item"))
-    items = map_texts(items, "text", ("item_id", "item"), _item_windows, f"w {WINDOW_TYPE}")
+    items = map_texts(items, "text", ("item_id", "item"), _item_windows, f"w {WINDOW_TYPE}, p {WINDOW_TYPE}")
+    items = items.select("item_id", "item", F.explode(F.array("w", "p")).alias("w"))
     n_windows = F.size(F.array_distinct(F.transform("w", lambda x: x["at"])))
     tokens = F.array_max(F.transform("w", lambda x: x["at"] + x["len"]))
     items = materialise(items.select("item_id", "item", n_windows.alias("n_windows"), tokens.alias("tokens"), F.explode("w").alias("w")).select("item_id", "item", "n_windows", "tokens", "w.*"))
-    lengths = sorted(r.len for r in items.select("len").distinct().collect())
+    lengths = sorted((r.plain, r.len) for r in items.select("plain", "len").distinct().collect())
     known = items.select("h").distinct()
     wanted = None
     if known.count() <= BROADCAST_WINDOWS:
         wanted = spark.sparkContext.broadcast(np.unique(known.toArrow()["h"].to_numpy().view(np.uint64)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
     if not lengths:
-        rows, lengths, wanted = rows.limit(0), [WINDOW], None
+        rows, lengths, wanted = rows.limit(0), [(False, WINDOW)], None
     found = map_texts(rows, "text", ("doc_id", "uid"), _document_windows(lengths, wanted), f"w {WINDOW_TYPE}")
     found = found.where(F.size("w") > 0).select("doc_id", "uid", F.explode("w").alias("w")).select("doc_id", "uid", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
-    met = found.join(items.select("item_id", "item", "n_windows", "tokens", F.col("at").alias("place"), "h", F.col("slots").alias("item_slots")), "h")
+    met = found.join(items.select("item_id", "item", "n_windows", "tokens", "plain", F.col("at").alias("place"), "h", F.col("slots").alias("item_slots")), "h")
     met = _occurrences(materialise(met.withColumn("shift", F.col("at") - F.col("place"))))
-    one = ["uid", "item", "scope"]
+    one = ["uid", "item", "plain", "scope"]
     matched = met.groupBy(*one).agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"), F.count_distinct("place").cast("int").alias("n_matched"))
     matched = matched.where((F.col("n_matched") >= COVERED * F.col("n_windows")) | (F.col("n_matched") >= LONG_RUN))
     pairs = met.where(F.size("item_slots") > 0).select(*one, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
@@ -245,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     agreed = each.groupBy(*one).agg((F.sum("best") / F.sum("n")).alias("consistency"))
     out = matched.join(agreed, one, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= CONSISTENT)
     figures = F.struct("doc_id", "item_id", "n_windows", "n_matched", "consistency")
-    order = F.struct(F.col("scope.kind") == WHOLE, "n_matched", "consistency")
+    order = F.struct(~F.col("plain"), F.col("scope.kind") == WHOLE, "n_matched", "consistency")
     best = out.groupBy("uid", "item").agg(F.max_by(figures, order).alias("x"))
     return best.select("x.doc_id", "uid", "x.item_id", "x.n_windows", "x.n_matched", "x.consistency")
 

@@ -29,3 +29,23 @@ def test_a_pair_is_reported_once(spark):
     text = ". ".join([QUESTION, QUESTION.replace("60", "45").replace("Alice", "Maria"), QUESTION])
     got = decontamination.leaks(documents(spark, [(1, text), (1, text)]), bench(spark, [QUESTION, QUESTION])).collect()
     assert len(got) == 4 and all(r.n_matched <= r.n_windows and r.consistency >= 0.8 for r in got)
+
+
+SUM = "Compute 12 + 34 * 56 - 78 / 9"
+
+
+def test_copies_of_items_of_numbers_are_caught(spark):
+    list_ = "Add the numbers 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 and give the sum"
+    docs = [(1, f"Some words first. {SUM} and more."), (2, "Compute 11 + 34 * 56 - 78 / 9"), (3, f"Homework: {list_}."), (4, list_.replace("3 4 5 6 7 8", "9 9 9 9 9 9")), (5, "12 34 56 78 9")]
+    assert leaked(spark, docs, [SUM, list_]) >= {(1, 0), (3, 1)}
+    assert {(d, i) for d, i in leaked(spark, docs, [SUM, list_]) if i == 0} == {(1, 0)}
+
+
+def test_copies_of_short_items_are_caught(spark):
+    docs = [(1, "He asked: What is 2+2? Nobody knew."), (2, "What is 2+3?"), (3, "what is\n2+2"), (4, "What"), (5, "is 2+2 what"), (6, "is 2+2"), (6, "What")]
+    assert leaked(spark, docs, ["What is 2+2?", "", "..."]) == {(1, 0), (3, 0)}
+
+
+def test_plain_windows_the_other_way(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    assert leaked(spark, [(1, SUM), (2, "What is 2+2?"), (3, "Compute 1 + 2")], [SUM, "What is 2+2?"]) == {(1, 0), (2, 1)}
