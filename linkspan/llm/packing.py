@@ -1,10 +1,11 @@
 """Lexical retrieval packing: related documents share sequences.
 
-Documents are tokenised once, each closed by ``END``, and dealt to index shards by a min-hash of
-their tokens, so that near copies and texts of one vocabulary meet. A shard that would hold more
-than ``SHARD_TOKENS`` is split by a hash of the row; the driver sees only counts of at most
-``CELLS`` cells a shard wanted. In each shard a BM25 inverted index over token ids is built. The
-first unused document becomes the seed of a sequence; its ``QUERY_TERMS`` rarest indexed terms are
+Documents are tokenised once, each closed by ``END``, and dealt to index shards by min-hashes of
+their runs of three tokens, so that near copies meet. A cell of the first min-hash that holds more
+than ``SHARD_TOKENS`` is parted by the second, and so on; only what agrees in all ``MIN_HASHES`` and is
+too large still is split by a hash of the row. The driver sees only counts of at most ``CELLS`` cells
+a shard wanted. In each shard a BM25 inverted index over token ids is built. The
+first unused document becomes the seed of a sequence; all its indexed terms are
 looked up, and the best unused neighbours fill the window, greedily by score. The last one is cut
 where the window ends, and its rest opens the next sequence as the seed. So all sequences but a
 shard's last are full.
@@ -41,7 +42,8 @@ END = 2
 SHARD_TOKENS = 4_000_000
 CELLS = 64
 MAX_SHARDS = 65_536
-QUERY_TERMS = 32
+MIN_HASHES = 4
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 K1, B = 1.2, 0.75
 #: Chunks and pieces that a Python worker keeps, from task to task (about 170 bytes each).
 CACHED = 700_000
@@ -131,6 +133,20 @@ def chunks_of(path: str, end: int) -> Chunks:
     return _kept[path]
 
 
+def min_hashes(ids: np.ndarray) -> list[int]:
+    """The least hash of a document's runs of three ids (fewer, if it has no more) in each of several orders."""
+    x = ids.astype(np.uint64)
+    n = min(3, len(x))
+    h = sum(x[k : len(x) - n + 1 + k] * MULTIPLIERS[k] for k in range(n))
+    h ^= h >> np.uint64(29)
+    out = []
+    for m in MULTIPLIERS[:MIN_HASHES]:
+        h = h * m
+        h ^= h >> np.uint64(32)
+        out.append(int(h.min() >> np.uint64(1)))
+    return out
+
+
 def _ids(path: str, end: int):
     """A function from texts to their ids and what is known of them."""
 
@@ -151,7 +167,7 @@ def _ids(path: str, end: int):
         def run(texts: list) -> dict[str, list]:
             ids = [x for i in range(0, len(texts), 50) for x in some(texts[i : i + 50])]
             numbers = [np.frombuffer(x, kind) for x in ids]
-            return {"ids": ids, "doc_tokens": [len(x) for x in numbers], "least": [int((x.astype(np.uint32) * np.uint32(0x9E3779B1)).min()) for x in numbers]}
+            return {"ids": ids, "doc_tokens": [len(x) for x in numbers], "least": [min_hashes(x) for x in numbers]}
 
         return run
 
@@ -159,10 +175,9 @@ def _ids(path: str, end: int):
 
 
 def rank(index: tuple, seed: int, used: np.ndarray, most: int | None = None) -> np.ndarray:
-    """The unused documents that share one of the seed's query terms, by BM25 score; the first `most` at least, and all of equal score."""
+    """The unused documents that share one of the seed's terms, by BM25 score; the first `most` at least, and all of equal score."""
     starts, posting, weight, idf, own = index
     terms = own(seed)
-    terms = terms[np.lexsort((terms, -idf[terms]))][:QUERY_TERMS]
     terms = terms[idf[terms] > 0]
     if not len(terms):
         return np.zeros(0, np.int64)
@@ -260,13 +275,25 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    done = materialise(map_texts(rows, "text", ("doc_id", "uid"), _ids(tokenizer, end), "ids binary, doc_tokens long, least long"))
+    done = materialise(map_texts(rows, "text", ("doc_id", "uid"), _ids(tokenizer, end), "ids binary, doc_tokens long, least array<bigint>"))
     tokens = done.agg(F.sum("doc_tokens")).first()[0] or 0
     shards = int(min(MAX_SHARDS, max(1, -(-tokens // SHARD_TOKENS))))
     cells = shards * CELLS
-    cell = F.pmod(F.xxhash64("least"), F.lit(cells)).cast("int")
-    counts = done.groupBy(cell.alias("cell")).agg(F.sum("doc_tokens").alias("n")).orderBy("cell").collect()
-    # cells fill shards in turn; one beyond a shard's size has shards of its own, dealt by a hash of the row
+    placed = done.withColumn("cell", F.pmod(F.xxhash64(F.col("least")[0]), F.lit(cells)))
+    counts = placed.groupBy("cell").agg(F.sum("doc_tokens").alias("n")).orderBy("cell").collect()
+    # a cell beyond a shard's size makes room for cells of its own among the others, by the next min-hash
+    for k in range(1, MIN_HASHES):
+        if all(r.n <= SHARD_TOKENS for r in counts):
+            break
+        first, moved = 0, []
+        for r in counts:
+            own = CELLS * -(-r.n // SHARD_TOKENS) if r.n > SHARD_TOKENS else 1
+            moved.append((r.cell, first, own))
+            first += own
+        to = spark.createDataFrame(moved, "cell long, first long, own long")
+        placed = placed.join(F.broadcast(to), "cell").withColumn("cell", F.col("first") + F.pmod(F.xxhash64(F.col("least")[k]), F.col("own"))).drop("first", "own")
+        counts = placed.groupBy("cell").agg(F.sum("doc_tokens").alias("n")).orderBy("cell").collect()
+    # cells fill shards in turn; one still beyond a shard's size has shards of its own, dealt by a hash of the row
     own, opened, room = [], 0, 0
     for r in counts:
         parts = -(-r.n // SHARD_TOKENS)
@@ -278,8 +305,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 opened, room = opened + 1, SHARD_TOKENS
             own.append((r.cell, opened - 1, 1))
             room -= r.n
-    where = spark.createDataFrame(own, "cell int, first long, parts long")
-    dealt = done.withColumn("cell", cell).join(F.broadcast(where), "cell")
+    where = spark.createDataFrame(own, "cell long, first long, parts long")
+    dealt = placed.join(F.broadcast(where), "cell")
     dealt = dealt.select("doc_id", "uid", "doc_tokens", "ids", (F.col("first") + F.pmod(F.xxhash64("uid"), F.col("parts"))).alias("shard"))
     schema = "doc_id long, uid long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("shard").applyInArrow(_pack(kind, sequence), schema)
