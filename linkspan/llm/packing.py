@@ -11,9 +11,14 @@ where the window ends, and its rest opens the next sequence as the seed. So all
 shard's last are full.
 
 Tokens come from a cache of white-space separated chunks: the tokenizer never joins across white
-space, so a text's ids are those of its chunks in turn, and a chunk's those of its pieces. Texts with
-characters beyond the plain ones (see ``PLAIN``) or with the tokenizer's own marks go through the
-tokenizer as a whole.
+space, so a text's ids are those of its chunks in turn, and a chunk's those of its pieces. A batch's
+texts are parted and its chunks told apart by Arrow, only the different ones are looked up, and the
+ids are put together by numpy. Texts with characters beyond the plain ones (see ``PLAIN``) or with the
+tokenizer's own marks go through the tokenizer as a whole.
+
+Scores are sums of whole numbers (a term's weight times ``UNIT``, rounded), so they do not depend on
+the order of summing. Terms that a quarter of a shard's documents hold have dense rows, which are
+added as they are; the others' postings are gathered and summed by document.
 
 Defined cases: a null or empty text is the one id ``END``; null ids and repeated rows are rows like
 any other, a row's pieces never mix with another's; texts longer than a sequence are cut into as
@@ -30,6 +35,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -45,8 +51,14 @@ MAX_SHARDS = 65_536
 MIN_HASHES = 4
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 K1, B = 1.2, 0.75
-#: Chunks and pieces that a Python worker keeps, from task to task (about 170 bytes each).
-CACHED = 700_000
+#: Scores are whole numbers of this part of one.
+UNIT = 4096
+#: A term that a document in DENSE holds has a dense row; rows take 4 bytes a document, so all take 4 x DENSE bytes a posting at most.
+DENSE = 4
+#: Chunks and pieces that a Python worker keeps, from task to task (about 200 bytes each); the half that is used most outlives a clearing.
+CACHED = 500_000
+#: Texts whose chunks are looked up together.
+TEXTS = 1000
 #: Characters of which it is sure where the tokenizer parts them: ASCII, accented Latin letters and general punctuation.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*")
 #: Fixed value: the pattern of tokenizers that the cache serves.
@@ -64,15 +76,14 @@ def pieces_of(low: str) -> tuple | list:
     return PIECES.findall(low)
 
 
-class Chunks(dict):
-    """Chunks of text, and pieces of chunks, to their ids as bytes (two each where ids fit, else four).
+class Chunks:
+    """Chunks of text, and pieces of chunks, to their ids: each has a place in one array of ids.
 
     An unknown chunk is put together from its pieces, and unknown pieces are encoded many at a
     time: a piece's last id, and no other, is of a token that ends a word.
     """
 
     def __init__(self, tokenizer, kind: np.dtype):
-        super().__init__()
         self.tokenizer, self.kind = tokenizer, kind
         told = json.loads(tokenizer.to_str())
         parts = [x["pattern"].get("Regex") for x in (told["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
@@ -84,40 +95,78 @@ class Chunks(dict):
         self.closes = np.zeros(tokenizer.get_vocab_size(), bool)
         for token, i in tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
+        self.known: dict[str, int] = {"": 0}
+        #: By number: where a chunk's ids start, how many they are, and how often batches had it. The empty chunk is the first.
+        self.start, self.size, self.uses = (np.zeros(1, t) for t in (np.int64, np.int32, np.int32))
+        self.ids = np.zeros(0, kind)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def of(self, chunks: set[str]) -> dict[str, bytes]:
-        """The chunks' ids, in a dictionary small enough to be read fast."""
-        if len(self) > CACHED:
-            self.clear()
-        get = self.get
-        found = {c: get(c) for c in chunks}
-        whole, parts = [], []
-        for c, ids in found.items():
-            if ids is None:
-                low = c.lower()
-                if low == c and c.isalpha():
-                    whole.append(c)  # a piece itself
-                else:
-                    parts.append((c, pieces_of(low)))
-        new = list({*whole, *(p for _, ps in parts for p in ps if p not in self)})
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
+    def _add(self, names: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.size)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.known.update(zip(names, range(first, first + len(names)), strict=True))
+
+    def _clear(self) -> None:
+        """Forget the chunks that fewer batches had, and count the others' uses half."""
+        keep = self.uses > np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2]
+        keep[0] = True
+        new = np.cumsum(keep) - 1
+        self.known = {c: int(new[k]) for c, k in self.known.items() if keep[k]}
+        self.ids = self.gather(np.flatnonzero(keep))[0]
+        self.size, self.uses = self.size[keep], self.uses[keep] >> 1
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and how many each has."""
+        sizes = self.size[numbers].astype(np.int64)
+        shift = self.start[numbers] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _encode_pieces(self, new: list[str]) -> None:
+        for i in range(0, len(new), 5000):
+            some = new[i : i + 5000]
             lines = [" ".join(some[k : k + 100]) for k in range(0, len(some), 100)]
-            ids = np.array([x for e in self.slim.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], self.kind)
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.slim.encode_batch_fast(lines, add_special_tokens=False)])
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                raw, at = ids.tobytes(), (ends * self.kind.itemsize).tolist()
-                self.update(zip(some, map(raw.__getitem__, map(slice, [0, *at], at)), strict=True))
+                self._add(some, np.diff(ends, prepend=0), ids)
             else:  # never seen; each by itself is right in any case
-                self.update((x, self.encode(x).tobytes()) for x in some)
-        for c in whole:
-            found[c] = self[c]
-        for c, ps in parts:
-            found[c] = self[c] = self[ps[0]] if len(ps) == 1 else b"".join([self[p] for p in ps])
-        return found
+                each = [self.encode(x) for x in some]
+                self._add(some, np.array([len(x) for x in each], np.int64), np.concatenate(each))
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of different chunks; those that are not known are encoded first."""
+        if len(self.size) > CACHED:
+            self._clear()
+        known = self.known
+        found = list(map(known.get, chunks))
+        new = {c for c, k in zip(chunks, found, strict=True) if k is None}
+        if new:
+            # flat lists: many small ones would be searched for cycles again and again
+            whole, split, parts, counts = [], [], [], []
+            for c in new:
+                low = c.lower()
+                if low == c and c.isalpha():
+                    whole.append(c)  # a piece itself
+                else:
+                    p = pieces_of(low)
+                    parts += p
+                    counts.append(len(p))
+                    split.append(c)
+            self._encode_pieces(list({*whole, *parts}.difference(known)))
+            if split:
+                ids, sizes = self.gather(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
+                own = np.array(counts)
+                self._add(split, np.add.reduceat(sizes, np.cumsum(own) - own), ids)
+            found = list(map(known.__getitem__, chunks))
+        out = np.array(found, np.int64)
+        self.uses[out] += 1
+        return out
 
 
 _kept: dict[str, Chunks] = {}
@@ -133,18 +182,46 @@ def chunks_of(path: str, end: int) -> Chunks:
     return _kept[path]
 
 
-def min_hashes(ids: np.ndarray) -> list[int]:
-    """The least hash of a document's runs of three ids (fewer, if it has no more) in each of several orders."""
-    x = ids.astype(np.uint64)
-    n = min(3, len(x))
-    h = sum(x[k : len(x) - n + 1 + k] * MULTIPLIERS[k] for k in range(n))
+def min_hashes(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each document, given by where it ends, the least hash of its runs of three ids (fewer, if it has no more) in each of several orders."""
+    starts = np.concatenate([[0], ends[:-1]])
+    x = ids.astype(np.uint64) + np.uint64(1)
+    h = x * MULTIPLIERS[0]
+    for k in (1, 2):
+        after = np.zeros_like(x)
+        after[: len(x) - k] = x[k:]
+        for j in range(1, k + 1):
+            at = ends - j
+            after[at[at >= starts]] = 0  # the document has no more
+        h += after * MULTIPLIERS[k]
     h ^= h >> np.uint64(29)
+    short = np.concatenate([at[at > np.maximum(starts, ends - 3) if j < 3 else at > starts] for j, at in ((1, ends - 1), (2, ends - 2))])
     out = []
     for m in MULTIPLIERS[:MIN_HASHES]:
         h = h * m
         h ^= h >> np.uint64(32)
-        out.append(int(h.min() >> np.uint64(1)))
-    return out
+        order = h >> np.uint64(1)
+        order[short] = np.uint64(2**63 - 1)  # runs that stop short of three count in documents of fewer only
+        out.append(np.minimum.reduceat(order, starts).astype(np.int64))
+    return np.stack(out, axis=1)
+
+
+def ids_of(texts: list, chunks: Chunks, marks: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, each closed by `end`, and where each ends."""
+    plain = [bool(chunks.applies and (not t or PLAIN.fullmatch(t) and not any(m in t for m in marks))) for t in texts]
+    words = pc.ascii_split_whitespace(pa.array([t if ok and t else "" for t, ok in zip(texts, plain, strict=True)], pa.large_string()))
+    told = words.flatten().dictionary_encode()
+    numbers = chunks.numbers(told.dictionary.to_numpy(zero_copy_only=False).tolist())
+    ids, sizes = chunks.gather(numbers[told.indices.to_numpy()])
+    totals = np.concatenate([[0], np.cumsum(sizes)])
+    counts = np.diff(totals[words.offsets.to_numpy()])
+    if all(plain):
+        ends = np.cumsum(counts)
+        return np.insert(ids, ends, end), np.cumsum(counts + 1)
+    at, out = np.concatenate([[0], np.cumsum(counts)]), []
+    for i, (t, ok) in enumerate(zip(texts, plain, strict=True)):
+        out += [ids[at[i] : at[i + 1]] if ok else chunks.encode(t) if t else ids[:0], np.array([end], chunks.kind)]
+    return np.concatenate(out), np.cumsum([len(x) + 1 for x in out[::2]])
 
 
 def _ids(path: str, end: int):
@@ -152,39 +229,67 @@ def _ids(path: str, end: int):
 
     def per_batch():
         chunks = chunks_of(path, end)
-        tokenizer, kind = chunks.tokenizer, chunks.kind
-        marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        closing = np.array([end], kind).tobytes()
-
-        def some(texts: list) -> list[bytes]:
-            parts = [t.split() if t and chunks.applies and PLAIN.fullmatch(t) and not any(m in t for m in marks) else None for t in texts]
-            get = chunks.of(set().union(*(p for p in parts if p))).__getitem__
-            return [
-                b"".join(map(get, p)) + closing if p is not None else chunks.encode(t).tobytes() + closing if t else closing
-                for t, p in zip(texts, parts, strict=True)
-            ]
+        marks = [t.content for t in chunks.tokenizer.get_added_tokens_decoder().values()]
+
+        def some(texts: list) -> tuple[list, list, list]:
+            ids, ends = ids_of(texts, chunks, marks, end)
+            raw, at = ids.tobytes(), (np.concatenate([[0], ends]) * ids.itemsize).tolist()
+            return [raw[a:b] for a, b in zip(at, at[1:], strict=False)], np.diff(ends, prepend=0).tolist(), min_hashes(ids, ends).tolist()
 
         def run(texts: list) -> dict[str, list]:
-            ids = [x for i in range(0, len(texts), 50) for x in some(texts[i : i + 50])]
-            numbers = [np.frombuffer(x, kind) for x in ids]
-            return {"ids": ids, "doc_tokens": [len(x) for x in numbers], "least": [min_hashes(x) for x in numbers]}
+            found = [some(texts[i : i + TEXTS]) for i in range(0, len(texts), TEXTS)]
+            return {name: [x for f in found for x in f[k]] for k, name in enumerate(("ids", "doc_tokens", "least"))}
 
         return run
 
     return per_batch
 
 
-def rank(index: tuple, seed: int, used: np.ndarray, most: int | None = None) -> np.ndarray:
-    """The unused documents that share one of the seed's terms, by BM25 score; the first `most` at least, and all of equal score."""
-    starts, posting, weight, idf, own = index
-    terms = own(seed)
-    terms = terms[idf[terms] > 0]
-    if not len(terms):
-        return np.zeros(0, np.int64)
-    spans = [slice(starts[t], starts[t + 1]) for t in terms]
-    found = np.concatenate([posting[s] for s in spans])
-    score = np.bincount(found, weights=np.concatenate([weight[s] * idf[t] for s, t in zip(spans, terms, strict=True)]), minlength=len(used))
-    score[used] = 0
+class Index:
+    """A BM25 inverted index over the ids of a shard's documents. Terms of one document only find nothing."""
+
+    def __init__(self, documents: list[np.ndarray]):
+        pairs = [np.unique(x, return_counts=True) for x in documents]
+        sizes = np.array([len(t) for t, _ in pairs])
+        n = len(documents)
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        raw = np.concatenate([t for t, _ in pairs])
+        tf = np.concatenate([c for _, c in pairs]).astype(np.float64)
+        lengths = np.array([len(x) for x in documents], dtype=np.float64)
+        df = np.bincount(raw)
+        idf = np.where(df > 1, np.log1p((n - df + 0.5) / (df + 0.5)), 0.0)
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / lengths.mean())[doc])) * idf[raw]
+        weight = np.rint(weight * UNIT).astype(np.int32)
+        order = np.argsort(raw, kind="stable")  # short numbers are sorted by radix
+        self.n, self.df, self.starts = n, df, np.concatenate([[0], np.cumsum(df)])
+        self.posting, self.weight = doc[order].astype(np.int64), weight[order]
+        self.rows = np.full(len(df), -1, np.int64)
+        often = np.flatnonzero((df * DENSE >= n) & (df > 1))
+        self.rows[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.int32)
+        for k, t in enumerate(often.tolist()):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.dense[k, self.posting[own]] = self.weight[own]
+        self.terms, self.at = raw.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Every document's score for all the seed's terms."""
+        terms = self.terms[self.at[seed] : self.at[seed + 1]]
+        terms = terms[self.df[terms] > 1]
+        rows = self.rows[terms]
+        rare = terms[rows < 0]
+        sizes = self.df[rare]
+        place = np.repeat(self.starts[rare] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        out = np.bincount(self.posting[place], weights=self.weight[place], minlength=self.n).astype(np.int64)
+        total = np.zeros(self.n, np.int32)  # a sum of fewer than 2**16 weights below 2**15 each
+        for k in rows[rows >= 0].tolist():
+            total += self.dense[k]
+        return out + total
+
+
+def ranked(score: np.ndarray, used: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The unused documents with a score, best first; `most` of them at least, and all of the same score."""
+    score = np.where(used, 0, score)
     if most is not None and len(score) > most:
         least = np.partition(score, len(score) - most)[len(score) - most]
         open_ = np.flatnonzero(score >= least if least > 0 else score > 0)
@@ -193,28 +298,9 @@ def rank(index: tuple, seed: int, used: np.ndarray, most: int | None = None) ->
     return open_[np.lexsort((open_, -score[open_]))]
 
 
-def build_index(documents: list[np.ndarray]) -> tuple:
-    """A BM25 inverted index: for each term its documents and their weights, the terms' idf, and a document's terms. Terms of one document only find nothing and have idf 0."""
-    pairs = [np.unique(x, return_counts=True) for x in documents]
-    sizes = np.array([len(t) for t, _ in pairs])
-    doc = np.repeat(np.arange(len(pairs), dtype=np.int32), sizes)
-    raw = np.concatenate([t for t, _ in pairs])
-    order = np.argsort(raw, kind="stable")  # short numbers are sorted by radix
-    term = raw.astype(np.int64)
-    tf = np.concatenate([c for _, c in pairs]).astype(np.float32)
-    lengths = np.array([len(x) for x in documents], dtype=np.float32)
-    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-    df = np.bincount(term)
-    starts = np.concatenate([[0], np.cumsum(df)])
-    n = len(documents)
-    idf = np.where(df > 1, np.log1p((n - df + 0.5) / (df + 0.5)), 0.0)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    return starts, doc[order], weight[order], idf, lambda d: term[at[d] : at[d + 1]]
-
-
 def plan(documents: list[np.ndarray], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece."""
-    index = build_index(documents)
+    index = Index(documents)
     used = np.zeros(len(documents), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
     at, fill, seq, start = 0, 0, 0, 0
@@ -231,14 +317,15 @@ def plan(documents: list[np.ndarray], sequence: int = SEQUENCE) -> list[tuple[in
                 used[at] = True
                 queue = [seed]
             else:
-                for most in (16, None):  # few fill a window; where they do not, all are ranked
+                score = index.scores(seed)
+                for most in (16, 256, None):  # few fill a window; where they do not, more are ranked
                     room, best = sequence - fill, []
-                    for d in rank(index, seed, used, most).tolist():
+                    for d in ranked(score, used, most).tolist():
                         best.append(d)
                         room -= len(documents[d])
                         if room <= 0:
                             break
-                    if room <= 0 or len(best) < 16:
+                    if room <= 0 or most is None or len(best) < most:
                         break
                 used[best] = True
                 queue, seed = best, -1
@@ -309,7 +396,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     dealt = placed.join(F.broadcast(where), "cell")
     dealt = dealt.select("doc_id", "uid", "doc_tokens", "ids", (F.col("first") + F.pmod(F.xxhash64("uid"), F.col("parts"))).alias("shard"))
     schema = "doc_id long, uid long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInArrow(_pack(kind, sequence), schema)
+    # one partition a shard on average: what a task holds does not grow with the input
+    return dealt.repartition(max(1, opened), "shard").groupBy("shard").applyInArrow(_pack(kind, sequence), schema)
 
 
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

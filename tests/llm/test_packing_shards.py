@@ -28,14 +28,22 @@ def test_copies_meet(spark, monkeypatch):
     assert sum(at[i] == at[2000 + i] for i in range(150)) > 120
 
 
+def least(docs):
+    return packing.min_hashes(packing.np.concatenate([packing.np.array(d, "<u2") for d in docs]), packing.np.cumsum([len(d) for d in docs]))
+
+
 def test_min_hashes_tell_texts_apart():
     rng = random.Random(6)
-    docs = [packing.np.array([rng.randrange(40) for _ in range(200)] + [2], "<u2") for _ in range(200)]
-    assert len({packing.min_hashes(d)[0] for d in docs}) > 100 and all(len(packing.min_hashes(packing.np.array(d, "<u2"))) == 4 for d in ([2], [5, 2]))
+    docs = [[rng.randrange(40) for _ in range(200)] + [2] for _ in range(200)]
+    assert len({x[0] for x in least(docs).tolist()}) > 100 and least([[2], [5, 2], [7, 5, 2]]).shape == (3, 4)
+    short = [[2], [5, 2], [0, 2], [2], [7, 5, 2], [1] * 9 + [2]]
+    together = least(short + docs).tolist()
+    assert together == [least([d]).tolist()[0] for d in short + docs]
+    assert together[0] == together[3] and len({tuple(x) for x in together[:6]}) == 5
 
 
 def test_all_terms_of_a_seed_are_asked_for():
     rare, often = list(range(100, 140)), list(range(10, 30))
     docs = [packing.np.array(x) for x in (rare + often, [*rare, 1], often, *[[k] for k in often], *[[900 + k] for k in range(60)])]
-    found = packing.rank(packing.build_index(docs), 0, packing.np.arange(len(docs)) == 0).tolist()
+    found = packing.ranked(packing.Index(docs).scores(0), packing.np.arange(len(docs)) == 0).tolist()
     assert found[0] == 1 and 2 in found and len(found) == 2 + len(often)
