@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,32 +27,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder under /tmp only where none is named, as in tests."""
+    """The shared folder that the cluster names; a folder under /tmp only where none is named and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("/tmp/checkpoints")
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Paths that materialise() wrote and nothing has deleted yet.
+_scratch: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there: lineage ends, and a lost executor costs no more than the reading."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/linkspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _scratch.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote, once nothing that is still to be read depends on them."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if path := getattr(df, "_scratch", None):
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, keep: set[str]) -> None:
+    """Delete all tables that materialise() wrote but those in keep: for the end of a job that has written its result elsewhere."""
+    for path in [p for p in _scratch if p not in keep]:
+        _delete(spark, path)
+
+
+def scratch_paths() -> set[str]:
+    """The tables that materialise() wrote and that are still there."""
+    return set(_scratch)
 
 
 #: Rows up to which a list of row numbers, or what goes with them, is broadcast.
@@ -63,10 +89,62 @@ def pick(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df, or a written copy where a second reading might deal the rows out differently: row numbers then mean the same rows each time."""
-    nodes = set(re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M))
-    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else materialise(df)
+#: Rows of one key from which the key counts as hot.
+HOT_ROWS = 100_000
+
+
+def spread(left: DataFrame, right: DataFrame, on: str, rows: str) -> DataFrame:
+    """left joined with right, which has one row a key and, in `rows`, how many rows left has of it: hot keys by broadcast (left / HOT_ROWS of them at most), the others by a shuffle, so that no task gathers a hot key."""
+    hot = right.where(F.col(rows) > HOT_ROWS).drop(rows)
+    n = hot.count()
+    if not n:
+        return left.join(right.drop(rows), on)
+    side = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    rest = left.join(F.broadcast(hot.select(on)) if n <= BROADCAST_ROWS else hot.select(on), on, "left_anti")
+    return left.join(side, on).unionByName(rest.join(right.where(F.col(rows) <= HOT_ROWS).drop(rows), on))
+
+
+#: Files up to which their numbers are broadcast (about 30 bytes each); beyond, rows are numbered once in a written copy.
+BROADCAST_FILES = 1_000_000
+#: Rows of a file that a row number has room for.
+ROWS_OF_FILE = 1 << 40
+
+
+def _files(df: DataFrame) -> list[str] | None:
+    """The files of df where it is nothing but columns and filters over one file source, in a fixed order; else None."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or any(c.lower() == "_metadata" for c in df.columns):
+        return None
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    return sorted(df.inputFiles())
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number that means the same row at every reading, however the reading is dealt out.
+
+    Rows of files are numbered by their file and their place in it. The rows of any other plan are
+    numbered as they come and written down once with their numbers.
+    """
+    spark, files = df.sparkSession, _files(df)
+    if files is not None and len(files) <= BROADCAST_FILES:
+        place = F.col("_metadata.row_index")
+        if len(files) < 2:
+            return df.select("*", place.alias(name))
+        path, number = free_name(df, "file_path_"), free_name(df, "file_number_")
+        one = lambda c: F.xxhash64(F.regexp_replace(c, "^([^:/]+):/*", "$1:/"))  # noqa: E731  file:/ and file:/// are the same
+        known = spark.createDataFrame(pa.table({path: files, number: np.arange(len(files), dtype=np.int64)})).select(one(path).alias(path), number)
+        if known.distinct().count() == known.select(path).distinct().count():
+            row = F.coalesce(F.col(number), F.raise_error(F.lit("a file that was not listed"))) * F.lit(ROWS_OF_FILE) + F.col(name)
+            rows = df.select("*", place.alias(name), one("_metadata.file_path").alias(path)).join(F.broadcast(known), path, "left")
+            return rows.select(*df.columns, row.alias(name))
+    return materialise(df.select("*", F.monotonically_increasing_id().alias(name)))
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -109,14 +187,13 @@ def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], per_batch: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = per_batch()
-        gc.disable()  # caches of many strings make collections slow, and texts make no cycles
         try:
             for batch in batches:
                 made = f(batch.column(text_in).to_pylist())
                 kept = [batch.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[n], t) for n, t in types)], names=[*keep, *(n for n, _ in types)])
         finally:
-            gc.enable()
+            del f
             give_back()
 
     return rows.mapInArrow(run, out)

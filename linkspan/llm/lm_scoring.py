@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import map_texts, materialise, small_batches, stable, table
+from linkspan.llm.common import map_texts, materialise, numbered, small_batches, table
 from linkspan.llm.ngram_join import MULTIPLIERS, WordHashes, mixed
 
 MIN_WORD = 2
@@ -196,7 +196,7 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     good = good_ids.select(F.col(good_ids.columns[0]).alias("good_id")).where("good_id is not null").distinct()
     side = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
-    rows = stable(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "uid")
     flagged = rows.join(side, rows["doc_id"] == F.col("good_id"), "left").select("doc_id", "uid", "text", F.col("good_id").isNotNull().alias("good"))
     counts = _count(flagged, all_bigrams=False)
     kept = materialise(counts.where((F.col("kind") == TOTAL) | ((F.col("kind") == WORD) & (F.col("t") >= MIN_WORD)) | ((F.col("kind") == BIGRAM) & (F.col("t") >= MIN_BIGRAM))))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from linkspan.llm.common import WORDS, free_name, map_texts, materialise, pick, small_batches, stable, table
+from linkspan.llm.common import WORDS, free_name, map_texts, materialise, numbered, pick, small_batches, table
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -114,7 +114,7 @@ def common_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_share: fl
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """The verdict on every row of docs, with its row number `uid` and the kept columns; and the common lines."""
-    rows = docs.select(*keep, F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text_"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(*keep, F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text_"), F.monotonically_increasing_id().alias("uid"))  # read once, by materialise()
     measured = materialise(map_texts(rows, "text_", (*keep, "host", "uid"), _per_batch, MEASURED))
     common = materialise(common_lines(measured))
     lines = measured.select("uid", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")).select("uid", "host", F.col("x.line_hash").alias("line_hash"), F.col("x.line_words").alias("words"))
@@ -131,7 +131,7 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
 def clean(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, without their common lines; the columns stay as they are (n_chars, where it is one, follows the text)."""
     uid, gone, host = (free_name(docs, n) for n in ("row_uid", "gone_lines", "host_of_lines"))
-    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
+    fixed = numbered(docs, uid)
     verdict, common = judge(fixed, host_col, text_col, keep=(uid,))
     changed = materialise(verdict.where(~F.col("kept") | (F.col("removed_words") > 0)).select(uid, "kept"))
     untouched = pick(fixed, changed.select(uid), uid, "left_anti").select(*docs.columns)
