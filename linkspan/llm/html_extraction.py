@@ -2,17 +2,22 @@
 
 Pages become lines, one for each block, with a zone: content (within an article, main or the like),
 plain, or chrome (menus, headers, footers, sidebars, notices, adverts, forms, reader comments and
-hidden elements). Within each host pages are sorted by URL path, and each is held against the
-neighbour that shares more leading path segments. Their lines are aligned by a longest common
-subsequence, and the lines that both share are deleted.
-
-Differencing alone gives wrong results where a host holds copies of an article (the article would
-go) and where a menu or an advert differs from page to page (it would stay). So the shared lines of
-a content zone are kept, and chrome goes even where it is not shared. Where a page has a content
-zone its text is that zone; other pages are what differencing leaves of their plain lines.
+hidden elements). Within each host the different pages are sorted by URL path, and each is held
+against the neighbour that shares more leading path segments; pages of equal lines stand in for one
+another. The lines of both are aligned by a longest common subsequence, and what both share is the
+template.
+
+The difference decides what stays: plain lines that the neighbour shares go, and so do content
+elements of which every line is shared (a teaser, a notice). Of a content element that differs
+somewhere all lines stay, for an article may quote what its neighbour quotes. Elements and class names
+are there for what differencing cannot tell: chrome that differs from page to page goes by its
+element. Where nothing but chrome differs, the neighbour is a copy: content elements stay whole, and
+plain lines where there is none. An element that is shared whole and holds more text than all that
+differs is a copied article beside changing scraps, and stays.
 
 Sorting is by range over (host, path, row), so a hot host is split; the neighbours of the rows where
-two ranges meet are found on the driver, two rows a range. Alignment takes hashes of lines only.
+two ranges meet are found on the driver, two rows a range. Alignment takes hashes of lines only, and
+only pages that share a line with their neighbour have marks.
 
 Defined cases: null html is an empty page; a null or relative URL has no host and no neighbour;
 equal URLs are neighbours; null ids and repeated rows are rows like any other; further columns are
@@ -30,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from linkspan.llm.common import map_texts, materialise, small_batches, stable, table
+from linkspan.llm.common import discard, map_texts, materialise, numbered, small_batches, table
 
 CHROME, PLAIN, CONTENT = 0, 1, 2
 #: Lines whose marks (a byte each) are broadcast; beyond, pages are shuffled to them.
@@ -55,42 +60,45 @@ CHROME_NAMES = frozenset(
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-PARTS = re.compile(r"[a-z]+")
+#: Between the parts of a class name; its first and its last part tell what it is for.
+JOINTS = re.compile(r"[^a-z]+")
 
 
 def _zone(tag: str, attributes: str, zone: int) -> int:
     """The zone that an element opens within a zone."""
     if zone == CHROME or tag in CHROME_TAGS or (tag == "header" and zone != CONTENT):
         return CHROME
-    found = PLAIN
+    found, chrome = PLAIN, False
     if attributes:
         if HIDDEN.search(attributes):
             return CHROME
         for m in NAMES.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            parts = set(PARTS.findall(value))
-            if parts & CHROME_NAMES and tag not in ("html", "body", "article", "main"):
-                return CHROME
-            if parts & CONTENT_NAMES or value.replace("-", "").replace("_", "") in CONTENT_NAMES:
+            names = (m[2] or m[3] or m[4] or "").lower().split()
+            if any(n.replace("-", "").replace("_", "") in CONTENT_NAMES for n in names):
                 found = CONTENT
+            elif tag not in ("html", "body", "article", "main"):
+                parts = [[x for x in JOINTS.split(n) if x] for n in names]
+                chrome |= any(x[0] in CHROME_NAMES or x[-1] in CHROME_NAMES for x in parts if x)
+        if chrome and found != CONTENT:
+            return CHROME
     return CONTENT if tag in CONTENT_TAGS or found == CONTENT and tag != "body" else zone
 
 
-def parse(page: str | None) -> list[tuple[str, int]]:
-    """The lines of a page and their zones, in order."""
-    lines: list[tuple[str, int]] = []
+def parse(page: str | None) -> list[tuple[str, int, int]]:
+    """The lines of a page in order: text, zone, and the number of the content element (0 elsewhere)."""
+    lines: list[tuple[str, int, int]] = []
     if not page:
         return lines
     piece: list[str] = []
     stack: list[tuple[str, int]] = []
-    zone, at = PLAIN, 0
+    zone, at, element = PLAIN, 0, 0
 
     def close() -> None:
         if piece:
             line = " ".join(entities.unescape("".join(piece)).split())
             piece.clear()
             if line:
-                lines.append((line, zone))
+                lines.append((line, zone, element if zone == CONTENT else 0))
 
     while m := TAG.search(page, at):
         if m.start() > at:
@@ -128,6 +136,7 @@ def parse(page: str | None) -> list[tuple[str, int]]:
         inner = _zone(tag, m[3], zone)
         if inner != zone:
             close()
+            element += inner == CONTENT
         if tag not in LOOSE or inner != zone:
             stack.append((tag, zone))
         zone = inner
@@ -144,15 +153,27 @@ def _hashes():
         h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
         return h - (1 << 64) if h >> 63 else h
 
-    return lambda pages: {"hashes": [[signed(t) for t, _ in parse(p)] for p in pages]}
+    return lambda pages: {"hashes": [[signed(t) for t, _, _ in parse(p)] for p in pages]}
 
 
 def text_of_page(page: str | None, gone: list[bool] | None) -> tuple[str, int, int]:
     """The lines that stay, how many lines the page has, and how many of them its neighbour shares."""
     lines = parse(page)
     gone = gone or [False] * len(lines)
-    least = CONTENT if any(z == CONTENT for _, z in lines) else PLAIN
-    stays = [t for (t, z), g in zip(lines, gone, strict=True) if z >= least and (z == CONTENT or not g)]
+    size: dict[int, int] = {}
+    live: dict[int, int] = {}
+    for (t, z, e), g in zip(lines, gone, strict=True):
+        if z != CHROME:
+            size[e] = size.get(e, 0) + len(t)
+            if not g:
+                live[e] = live.get(e, 0) + len(t)
+    elements = size.keys() - {0}
+    if live:
+        differing = sum(live.values())
+        whole = {e for e in elements if e in live or size[e] > differing}
+        stays = [t for (t, z, e), g in zip(lines, gone, strict=True) if z != CHROME and (e in whole or e == 0 and not g)]
+    else:  # a copy of its neighbour, but for the chrome
+        stays = [t for t, z, e in lines if z != CHROME and (e in elements or not elements)]
     return "\n".join(stays), len(lines), sum(gone)
 
 
@@ -261,17 +282,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars, and n_lines and n_shared (lines of the page, and those that its neighbour shares) of every row of pages."""
     url = F.col(url_col).cast("string")
     origin = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
-    rows = stable(pages).select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("uid"))
+    rows = numbered(pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).alias("html")), "uid")
     host, path = (F.coalesce(F.regexp_extract("url", origin, k), F.lit("")) for k in (1, 2))
     hashed = rows.select("uid", F.lower(host).alias("host"), path.alias("path"), "html")
-    hashed = materialise(map_texts(hashed, "html", ("uid", "host", "path"), _hashes, "hashes array<bigint>"))
-    near = neighbours(hashed.select("uid", "host", "path"))
+    hashed = map_texts(hashed, "html", ("uid", "host", "path"), _hashes, "hashes array<bigint>")
+    digest = F.struct(F.xxhash64("hashes", F.lit(1)).alias("x"), F.xxhash64("hashes", F.lit(2)).alias("y"))
+    hashed = materialise(hashed.where("host <> ''").withColumn("digest", digest))
+    # pages of equal lines of a host stand in for one another; the first in the order of paths has the neighbour
+    page = F.struct("path", "uid")
+    first = hashed.groupBy("host", "digest").agg(F.min(page).alias("x")).select("host", "digest", F.col("x.path").alias("path"), F.col("x.uid").alias("uid"))
+    first = materialise(first)
+    near = neighbours(first.select("uid", "host", "path"))
     own = hashed.select("uid", F.col("hashes").alias("own"))
     pairs = near.join(own, "uid").join(own.select(F.col("uid").alias("near"), F.col("own").alias("other")), "near")
-    common = materialise(_aligned(pairs))
-    # pages are read again rather than kept: beside the marks of their lines, the texts are the bulk
+    common = _aligned(pairs).where(F.exists("common", lambda x: x))
+    common = materialise(common.join(first.select("uid", "host", "digest"), "uid").select("host", "digest", "common"))
     lines = common.agg(F.sum(F.size("common"))).first()[0] or 0
-    marked = rows.join(F.broadcast(common) if lines <= BROADCAST_LINES else common, "uid", "left")
+    side = F.broadcast(common) if lines <= BROADCAST_LINES else common
+    marks = materialise(hashed.select("uid", "host", "digest").join(side, ["host", "digest"]).select("uid", "common"))
+    # pages are read again rather than kept: beside the marks of their lines, the texts are the bulk
+    lines = marks.agg(F.sum(F.size("common"))).first()[0] or 0
+    marked = rows.join(F.broadcast(marks) if lines <= BROADCAST_LINES else marks, "uid", "left")
+    discard(hashed, first, common)
     return _texts(marked).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
 
 
