@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
-Four base kinds (email, ip, card, phone) are found by pattern and are the seeds. Every seed, and
-every other token that holds at least ``DIGITS`` digits or an at sign, is an instance; the words
-around an instance make its lexical patterns: two words to the left, two words to the right, and
-one on either side. Patterns and instances form a graph whose edges join distinct values and
+Four base kinds (email, ip, card, phone) are found by pattern and are the seeds. Every seed is an
+instance, and so is every other run of tokens with a digit or an at sign, with one space between them,
+that holds at least ``DIGITS`` digits or an at sign, and every single token of that kind; punctuation
+around them is left out. The words around an instance make its lexical patterns: two words to the left,
+two words to the right, and one on either side. Identifiers of fewer digits, and names, are no
+instances, so they are not found. Patterns and instances form a graph whose edges join distinct values and
 patterns. ``ROUNDS`` times, a pattern's confidence is the mean score of the values that it
 surrounds, damped by ``DAMP`` for small support, and an unlabelled value's score is the highest
 confidence among its patterns. Only patterns that at least ``SUPPORT`` distinct seed values induce
@@ -14,7 +16,8 @@ of copies of one text weigh as one.
 
 Defined cases: a null or empty text has no spans; null ids and repeated rows are rows like any
 other; further columns are ignored; an empty table gives an empty result. Positions are code
-points, ends exclusive. Candidates that overlap a base span are not reported again.
+points, ends exclusive. Candidates that overlap a base span are not reported again, nor are tokens
+within a run that is.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import discard, free_name, materialise, pick, stable, table, text_of
-from linkspan.llm.spans import matches, per_row
+from linkspan.llm.common import discard, free_name, materialise, numbered, pick, spread, table, text_of
+from linkspan.llm.spans import apart, matches, per_row
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("found",)
@@ -39,8 +42,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A token with a digit or an at sign.
+#: A token with a digit or an at sign, and a run of them.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+RUN = TOKEN + r"(?:\x20[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)*+"
+#: Punctuation that is no part of an identifier.
+OPENS, CLOSES = "([{<\"'", ".,;:!?)]}>\"'"
 OCTET = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
 
@@ -68,27 +74,22 @@ def valid(kind: Column, value: Column) -> Column:
 
 def _contexts(instances: DataFrame) -> DataFrame:
     """(pattern, value, seed) of every instance, distinct."""
-    spaces = r"[\x20\x09-\x0D]+"
-    words = lambda c: F.filter(F.split(F.lower(c), spaces), lambda x: x != "")
-    sides = instances.select("value", "seed", words(F.col("before")).alias("l"), words(F.col("after")).alias("r"))
-    l1, l2 = F.try_element_at("l", F.lit(-1)), F.try_element_at("l", F.lit(-2))
-    r1, r2 = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
-    patterns = F.array(F.concat(F.lit("L "), l2, F.lit(" "), l1), F.concat(F.lit("R "), r1, F.lit(" "), r2), F.concat(F.lit("C "), l1, F.lit(" "), r1))
-    edges = sides.select(F.xxhash64("value", F.length("value")).alias("v"), "seed", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern"))
+    sides = (("L ", "l2", "l1"), ("R ", "r1", "r2"), ("C ", "l1", "r1"))
+    patterns = F.array(*(F.concat(F.lit(k), F.col(x), F.lit(" "), F.col(y)) for k, x, y in sides))
+    edges = instances.select(F.xxhash64("value", F.length("value")).alias("v"), "seed", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern"))
     return edges.groupBy(F.xxhash64("pattern").alias("p"), "v").agg(F.max("seed").alias("seed"))
 
 
 def bootstrap(instances: DataFrame) -> DataFrame:
-    """v and score of the unlabelled values that end above the threshold; instances: value, seed, before, after."""
+    """v and score of the unlabelled values that end above the threshold; instances: value, seed, l2, l1, r1, r2."""
     edges = _contexts(instances)
     induced = edges.groupBy("p").agg(F.sum(F.col("seed").cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).where(F.col("k") >= SUPPORT)
-    edges = materialise(edges.join(induced.select("p"), "p"))
-    values = edges.groupBy("v").agg(F.max("seed").alias("seed"))
-    scores = values.select("v", "seed", F.col("seed").cast("double").alias("score"))
+    edges = materialise(spread(edges, induced.select("p", "n"), "p", "n"))
+    scores = materialise(edges.groupBy("v").agg(F.max("seed").alias("seed"), F.max(F.col("seed").cast("double")).alias("score"), F.count(F.lit(1)).alias("n")))
     for _ in range(ROUNDS):
-        confidence = edges.join(scores.select("v", "score"), "v").groupBy("p").agg((F.sum("score") / (F.count(F.lit(1)) + DAMP)).alias("confidence"))
-        best = edges.join(confidence, "p").groupBy("v").agg(F.max("seed").alias("seed"), F.max("confidence").alias("confidence"))
-        scores = materialise(best.select("v", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("confidence")).alias("score")))
+        confidence = spread(edges, scores.select("v", "score", "n"), "v", "n").groupBy("p").agg((F.sum("score") / (F.count(F.lit(1)) + DAMP)).alias("confidence"), F.count(F.lit(1)).alias("n"))
+        best = spread(edges, materialise(confidence), "p", "n").groupBy("v").agg(F.max("seed").alias("seed"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+        scores = materialise(best.select("v", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("confidence")).alias("score"), "n"))
     return scores.where(~F.col("seed") & (F.col("score") >= CONFIDENT)).select("v", "score")
 
 
@@ -97,19 +98,23 @@ def find(rows: DataFrame, uid: str, text: str) -> DataFrame:
     hits = materialise(rows.where(F.col(text).rlike("[0-9@]")).select(uid, text))
     base = matches(hits, uid, text, PATTERNS, context=True)
     base = materialise(base.where(valid(F.col("kind"), F.col("value"))).withColumn("seed", F.lit(True)))
-    loose = matches(hits, uid, text, {"found": TOKEN}, context=True)
+    loose = matches(hits, uid, text, {"run": RUN, "token": TOKEN}, context=True)
+    opened = F.ltrim("value", F.lit(OPENS))
+    loose = loose.withColumn("start", F.col("start") + F.length("value") - F.length(opened)).withColumn("value", F.rtrim(opened, F.lit(CLOSES))).withColumn("end", F.col("start") + F.length("value"))
     loose = loose.where(F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS))
-    over = (F.col(f"o.{uid}") == F.col(f"b.{uid}")) & (F.col("o.start") < F.col("b.end")) & (F.col("b.start") < F.col("o.end"))
-    loose = materialise(loose.alias("o").join(base.select(uid, "start", "end").alias("b"), over, "left_anti").withColumn("seed", F.lit(False)))
+    loose = materialise(apart(loose, base, uid).withColumn("seed", F.lit(False)))
     discard(hits)
     sure = bootstrap(base.unionByName(loose))
-    added = loose.withColumn("v", F.xxhash64("value", F.length("value"))).join(sure, "v", "left_semi")
-    return base.select(uid, "kind", "start", "end").unionByName(added.select(uid, "kind", "start", "end"))
+    value = F.xxhash64("value", F.length("value"))
+    often = materialise(loose.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).join(sure.select("v"), "v"))
+    added = materialise(spread(loose.withColumn("v", value), often, "v", "n").select(uid, "kind", "start", "end"))
+    runs, tokens = (added.where(F.col("kind") == k).withColumn("kind", F.lit("found")) for k in ("run", "token"))
+    return base.select(uid, "kind", "start", "end").unionByName(runs).unionByName(apart(tokens, runs, uid).select(uid, "kind", "start", "end"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest and spans of every row of docs."""
-    rows = stable(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text_"), F.monotonically_increasing_id().alias("uid"))
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text_")), "uid")
     found = materialise(find(rows, "uid", "text_"))
     return per_row(rows.select("doc_id", "uid"), found, "uid", BASE, ADDED, by_kind=True).drop("uid")
 
@@ -117,7 +122,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, each span replaced by its kind in angle brackets; overlapping spans become one, named after the first. The columns stay as they are (n_chars, where it is one, follows the text)."""
     uid, spans, done, new = (free_name(docs, n) for n in ("row_uid", "spans_found", "text_parts", "text_redacted"))
-    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
+    fixed = numbered(docs, uid)
     found = find(fixed.select(uid, text_of(text_col).alias("text_")), uid, "text_")
     ordered = materialise(found.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(spans)))
     text = F.col(text_col)

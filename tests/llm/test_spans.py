@@ -6,7 +6,7 @@ import re
 
 from edge import clashing, documents, edge_rows
 
-from linkspan.llm import pii, secrets
+from linkspan.llm import common, pii, secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 PII = [
@@ -77,6 +77,21 @@ def test_owners_decide(spark):
     assert (got[30].n_live, got[30].n_example) == (0, 1) and (got[31].n_live, got[31].n_example) == (1, 0)
 
 
+def test_repositories_decide_too(spark):
+    """A value in many different texts of one owner is a copied example; copies of one text are one repository."""
+    example, own = "Sample0123456789ABCDEFghij", "Owned0123456789ABCDEFghijkl"
+    rows = [(i, f"file {i} says {example} here", "en", "src1") for i in range(11)] + [(100 + i, f"the file says {own} here", "en", "src1") for i in range(30)]
+    got = {r.doc_id: r for r in secrets.scan(documents(spark, rows)).collect()}
+    assert all(got[i].spans == "" for i in range(11)) and all(got[100 + i].spans.startswith("owned:14:") and got[100 + i].max_repositories == 1 for i in range(30))
+
+
+def test_hot_values_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    test_owners_decide(spark)
+    test_repositories_decide_too(spark)
+    test_bootstrap_against_brute_force(spark)
+
+
 def test_pii_base(spark):
     rows = edge_rows() + PERSONAL + noise(2, list("0123456789.@+- ()aZ%_"), 400) + noise(3, ["4111", "1111", " ", "-", "+1", "(", ")", "255.", "1.2", "a@b.c", "."], 300)
     df = clashing(documents(spark, rows))
@@ -90,33 +105,43 @@ def test_pii_base(spark):
 
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"please call me on +1 555 010 {1000 + i} today or later {i}") for i in range(8)]
-    rows += [(20, "please call me on 555-010-77 today or later"), (21, "the year 1999123 was long")]
+    rows += [(20, "please call me on 555-010-77 today or later"), (21, "the year 1999123 was long"), (22, "please call me on 0171 234 567, today or later"), (23, "ring " + "y" * 200 + " me on (555-0199) today or later")]
     got = {r.doc_id: r.spans for r in pii.scan(documents(spark, rows)).collect()}
     assert got[20] == "found:18:28" and got[21] == ""
+    assert got[22] == "found:18:30" and got[23] == "found:213:221"
 
 
 def bootstrap_brute(rows):
     """The added spans by the same rules, in plain Python, over (doc_id, text)."""
-    space = re.compile(r"[\x20\x09-\x0D]+")
     instances = []
+    def context(t, spans, i):
+        """Two words before and after, matches of the kind being words like any other; what they cut is cut."""
+        cuts = sorted({0, len(t), *(x for s in spans for x in s)})
+        words = [(m.start() + a, m[0].lower()) for a, b in zip(cuts, cuts[1:], strict=False) for m in re.finditer(r"[^\x20\x09-\x0D]+", t[a:b])]
+        s, e = spans[i]
+        return [w for at, w in words if at < s][-2:], [w for at, w in words if at >= e][:2]
+
     for d, t in rows:
         t = t or ""
-        base = []
+        ok, base = set(base_pii(t)), []
         for kind, p in PII:
-            ms = list(p.finditer(t))
-            ok = {(k, s, e) for k, s, e in base_pii(t)}
-            for i, m in enumerate(ms):
-                if (kind, m.start(), m.end()) in ok:
-                    before, after = t[ms[i - 1].end() if i else 0 : m.start()][-80:], t[m.end() : ms[i + 1].start() if i + 1 < len(ms) else len(t)][:80]
-                    base.append((m.start(), m.end()))
-                    instances.append((d, None, None, m[0], before, after, True))
-        ms = list(re.finditer(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*", t))
-        for i, m in enumerate(ms):
-            if ("@" in m[0] or len(re.sub("[^0-9]", "", m[0])) >= 5) and not any(s < m.end() and m.start() < e for s, e in base):
-                instances.append((d, m.start(), m.end(), m[0], t[ms[i - 1].end() if i else 0 : m.start()][-80:], t[m.end() : ms[i + 1].start() if i + 1 < len(ms) else len(t)][:80], False))
+            ms = [m.span() for m in p.finditer(t)]
+            for i, (s, e) in enumerate(ms):
+                if (kind, s, e) in ok:
+                    base.append((s, e))
+                    instances.append((d, s, e, t[s:e], *context(t, ms, i), None))
+        one = r"[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
+        for kind, p in (("run", rf"(?<![^\x20\x09-\x0D]){one}(?: {one})*"), ("token", rf"(?<![^\x20\x09-\x0D]){one}")):
+            ms = [m.span() for m in re.finditer(p, t)]
+            for i, (s, e) in enumerate(ms):
+                value = t[s:e].lstrip(pii.OPENS)
+                s, value = e - len(value), value.rstrip(pii.CLOSES)
+                e = s + len(value)
+                if ("@" in value or len(re.sub("[^0-9]", "", value)) >= 5) and not any(x < e and s < y for x, y in base):
+                    instances.append((d, s, e, value, *context(t, ms, i), kind))
     edges = {}
-    for *_, value, before, after, seed in instances:
-        left, right = ([x for x in space.split(s.lower()) if x] for s in (before, after))
+    for _, _, _, value, left, right, kind in instances:
+        seed = kind is None
         ps = ([("L", *left[-2:])] if len(left) > 1 else []) + ([("R", *right[:2])] if len(right) > 1 else []) + ([("C", left[-1], right[0])] if left and right else [])
         for p in ps:
             edges[p, value] = edges.get((p, value), False) or seed
@@ -130,13 +155,15 @@ def bootstrap_brute(rows):
     for _ in range(3):
         conf = {p: sum(score[v] for v in vs) / (len(vs) + 1) for p, vs in of.items()}
         score = {v: 1.0 if v in seeds else max(conf[p] for p, vs in of.items() if v in vs) for v in score}
-    return {(d, s, e) for d, s, e, v, *_, seed in instances if not seed and v in score and v not in seeds and score[v] >= 0.7}
+    sure = [(d, s, e, kind) for d, s, e, v, _, _, kind in instances if kind and v in score and v not in seeds and score[v] >= 0.7]
+    runs = {x[:3] for x in sure if x[3] == "run"}
+    return runs | {(d, s, e) for d, s, e, kind in sure if kind == "token" and not any(x == d and y < e and s < z for x, y, z in runs)}
 
 
 def test_bootstrap_against_brute_force(spark):
     rng = random.Random(7)
     words = "call me at the office number is my mail to".split()
-    things = ["a{}@b.c", "10.0.0.{}", "+1 555 010 {}", "id-{}12345", "{}99999", "user{}@host"]
+    things = ["({}12 555 77),", "x" * 90 + "{}9", "a{}@b.c", "10.0.0.{}", "+1 555 010 {}", "id-{}12345", "{}99999", "user{}@host"]
     rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.7 else rng.choice(things).format(rng.randint(100, 130)) for _ in range(25))) for i in range(150)]
     got = {(r.doc_id, int(s), int(e)) for r in pii.scan(documents(spark, rows)).collect() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "found"}
     want = bootstrap_brute(rows)
