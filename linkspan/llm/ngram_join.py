@@ -1,6 +1,7 @@
 """Similarity join on word shingles by multiple-global-order prefix filtering.
 
-Sets of 3-word shingles link at a Jaccard similarity of ``PERCENT`` or more. Under any fixed order
+Sets of word shingles link at a Jaccard similarity of ``percent`` or more; width and similarity are
+parameters (five words and 80 for near duplicates, three and 90 for the query). Under any fixed order
 of all shingles, two sets that link share a shingle among the first ``n - ceil(t n) + 1`` of each.
 Three orders are used. All put shingles that are frequent in the corpus last, by frequency; the
 rest follow in three unrelated orders by hash. The first order's prefixes are longer by a tenth of the
@@ -11,9 +12,12 @@ and not differ in more bits of a 512-bit parity sketch than the similarity allow
 filters is verified on the whole sets. None of the filters can lose a link.
 
 Equal sets are joined through their digest and stand in for one another afterwards. Only the
-components are wanted, so no bucket is expanded into all its pairs: first each set is held against
-one other, that among its buckets' first members with which it shares most; then only pairs from
-different components are left, and these pass the filters inside the join, before they become rows.
+components are wanted, so no bucket is expanded into all its pairs. In each of ``STARS`` rounds every
+bucket that still holds several components has a lead, another one each time, and each set is held
+against one lead of another component: that with which it shares most. Then only pairs from components
+that are still different are left. They meet in the shorter prefixes (one shared shingle is enough
+there), and pass the filters inside the join, before they become rows; buckets of more than ``BLOCK``
+sets are dealt out by pairs of blocks.
 
 The frequent shingles are counted over all rows, within batches first; at most ``HEAVY`` of them are
 broadcast (16 bytes each). Which they are touches the speed alone: any order gives the same links.
@@ -21,7 +25,7 @@ Shingles are 64-bit hashes; the filters look at 48 and at 31 bits of them, which
 pairs through to the verification.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing, not even
-each other; a text of one or two words is one shingle; null ids take part, and a component's id is
+each other; a text of fewer words than a shingle has is one shingle; null ids take part, and a component's id is
 its smallest id that is not null (null if there is none); repeated rows are equal sets; further
 columns are ignored; an empty table gives an empty result.
 """
@@ -29,17 +33,22 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import discard, free_name, map_texts, materialise, pick, stable, table
+from linkspan.llm.common import discard, free_name, map_texts, materialise, numbered, pick, table
 from linkspan.llm.graph import components
 
-WORDS_IN_SHINGLE = 3
-PERCENT = 90
+#: Words of a shingle, and the similarity from which sets link: of the query, and of near duplicates.
+WORDS, PERCENT = 3, 90
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Rounds in which sets are held against leads, and members of a bucket from which it is dealt out by pairs of blocks.
+STARS = 2
+BLOCK = 1000
 #: The most frequent shingles that the orders know, and the count in a batch of rows from which a shingle is counted.
 HEAVY = 200_000
 BATCH_COUNT = 3
@@ -63,18 +72,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+def places(width: int) -> list[np.uint64]:
+    """A factor for each place in a shingle: the powers of an odd number."""
+    return [np.uint64(pow(int(MULTIPLIERS[0]), k + 1, 1 << 64)) for k in range(width)]
+
+
+def shingles(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
     """The distinct shingles' hashes, ascending."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < WORDS_IN_SHINGLE:
-        return mixed((h * MULTIPLIERS[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    n = len(h) - WORDS_IN_SHINGLE + 1
+    if len(h) < width:
+        return mixed((h * np.array(places(len(h)))).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
+    n = len(h) - width + 1
     out = np.zeros(n, np.uint64)
-    for k in range(WORDS_IN_SHINGLE):
-        out += h[k : k + n] * MULTIPLIERS[k]
+    for k, m in enumerate(places(width)):
+        out += h[k : k + n] * m
     return np.unique(mixed(out))
 
 
@@ -88,14 +102,17 @@ def shared_size(n: int) -> int:
     return 1 + n // 10
 
 
-def _first_pass():
-    hashes = WordHashes()
+def _first_pass(width: int):
+    """Each set's size and digest, and a batch's frequent shingles."""
 
-    def run(texts: list) -> dict[str, list]:
-        sets = [shingles(t, hashes) for t in texts]
+    def per_batch():
+        hashes = WordHashes()
+        return lambda texts: _sizes([shingles(t, hashes, width) for t in texts])
+
+    def _sizes(sets: list[np.ndarray]) -> dict[str, list]:
         found, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
         many = counts >= BATCH_COUNT
-        rest = [None] * (len(texts) - 1)
+        rest = [None] * (len(sets) - 1)
         return {
             "n": [len(s) for s in sets],
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
@@ -103,7 +120,7 @@ def _first_pass():
             "heavy_n": [counts[many].tolist(), *rest],
         }
 
-    return run
+    return per_batch
 
 
 def _ordered(s: np.ndarray, keys: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +135,8 @@ def _ordered(s: np.ndarray, keys: np.ndarray, places: np.ndarray, most: int) ->
     return rare, often
 
 
-def _first_prefixes(heavy, percent: int):
-    """Each set's prefix under the first order, 48 bits of each shingle."""
+def _first_prefixes(heavy, percent: int, width: int):
+    """Each set's prefix under the first order, 48 bits of each shingle, those first in the order first."""
 
     def per_batch():
         keys, places = heavy.value
@@ -132,7 +149,7 @@ def _first_prefixes(heavy, percent: int):
             return (np.concatenate([rare[:size], often[: max(0, size - len(rare))]]) >> np.uint64(16)).astype(np.int64).tolist()
 
         def run(texts: list) -> dict[str, list]:
-            sets = [shingles(t, hashes) for t in texts]
+            sets = [shingles(t, hashes, width) for t in texts]
             return {"n": [len(s) for s in sets], "first": [one(s) if len(s) else [] for s in sets]}
 
         return run
@@ -140,7 +157,7 @@ def _first_prefixes(heavy, percent: int):
     return per_batch
 
 
-def _traits(heavy, percent: int):
+def _traits(heavy, percent: int, width: int):
     """Each set, its prefixes under the second and third order (31 bits of each shingle), and its parity sketch."""
 
     def per_batch():
@@ -158,7 +175,7 @@ def _traits(heavy, percent: int):
             return *out, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), s.view(np.int64).tolist()
 
         def run(texts: list) -> dict[str, list]:
-            sets = [shingles(t, hashes) for t in texts]
+            sets = [shingles(t, hashes, width) for t in texts]
             found = [one(s) for s in sets]
             return {"n": [len(s) for s in sets]} | {name: [x[k] for x in found] for k, name in enumerate(("second", "third", "sketch", "s"))}
 
@@ -177,24 +194,60 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def _members(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(token, uid) of the first order's prefix shingles that sets share, for the sets that share enough of them.
+    """(token, uid, core) of the first order's prefix shingles that sets share, for the sets that share enough of them. core: whether the shorter prefix, for one shared shingle, has it.
 
     A set that links with one of m members shares shared_size(m) of them at least, and m is percent of its own size or more.
     """
-    least = prefixes.select("uid", (1 + F.floor(F.floor((percent * F.col("n") + 99) / F.lit(100)) / F.lit(10))).alias("least"))
-    member, kept = prefixes.select("uid", F.explode("first").alias("token")), []
+    ceiling = F.floor((percent * F.col("n") + 99) / F.lit(100))
+    least = prefixes.select("uid", (1 + F.floor(ceiling / F.lit(10))).alias("least"))
+    member = prefixes.select("uid", (F.col("n") - ceiling + 1).alias("short"), F.posexplode("first").alias("pos", "token")).select("uid", F.struct("token", (F.col("pos") < F.col("short")).alias("core")).alias("x"))
+    kept = []
     for _ in range(2):  # sets that went leave others with too few
-        shared = member.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
-        held = member.join(shared, "token").groupBy("uid").agg(F.collect_list("token").alias("held"))  # a set's own prefix at most
+        shared = member.groupBy("x.token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+        held = member.join(shared, F.col("x.token") == F.col("token")).groupBy("uid").agg(F.collect_list("x").alias("held"))  # a set's own prefix at most
         enough = materialise(held.join(least, "uid").where(F.size("held") >= F.col("least")).select("uid", "held"))
         kept.append(enough)
-        member = enough.select("uid", F.explode("held").alias("token"))
-    shared = member.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
-    out = materialise(member.join(shared, "token"))
+        member = enough.select("uid", F.explode("held").alias("x"))
+    shared = member.groupBy("x.token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+    out = materialise(member.join(shared, F.col("x.token") == F.col("token")).select("token", "uid", "x.core"))
     discard(*kept)
     return out
 
 
+def _mixed(member: DataFrame, label: DataFrame | None) -> DataFrame:
+    """member with each set's component, the tokens that still hold several."""
+    if label is None:
+        return member.withColumn("component", F.col("uid"))
+    placed = member.join(label.withColumnRenamed("v", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return placed.join(several, "token")
+
+
+def _stars(placed: DataFrame, marks: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs (a, b): each set with the one lead of its tokens, of another component, with which it shares most; those that sizes and sketches allow."""
+    order = F.struct(F.xxhash64("uid", F.lit(n)).alias("h"), F.col("uid").alias("lead"), F.col("component").alias("of"))
+    lead = placed.groupBy("token").agg(F.min(order).alias("x")).select("token", "x.lead", "x.of")
+    shares = placed.join(lead, "token").where("component <> of").groupBy("lead", "uid").agg(F.count(F.lit(1)).alias("n"))
+    star = shares.groupBy("uid").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("uid").alias("b"))
+    x, y = (marks.select(F.col("uid").alias(c), F.struct(*marks.columns[1:]).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    return star.join(x, "a").join(y, "b").where(_may_link("x", "y", percent)).select("a", "b")
+
+
+def _rest(placed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a token, and that sizes and sketches allow. A large bucket's pairs are dealt out by pairs of blocks, each pair to one."""
+    core = placed.where("core").select("token", "uid", "component")
+    blocks = core.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    own = core.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("token", "uid", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = materialise(dealt.join(marks, "uid"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.lo") == F.col("a.hi"))
+    pairs = a.join(b, same & once & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent))
+    return pairs.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link: they share prefix shingles under the second and the third order, and enough of all."""
     own = traits.select("uid", "second", "third")
@@ -231,53 +284,51 @@ def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[by_key], places[by_key]
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs, with its row number `uid`."""
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs, with its row number `uid`; sets of `width` words' shingles link at `percent`."""
     spark = docs.sparkSession
-    rows = stable(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    first = materialise(map_texts(rows, "text", ("doc_id", "uid"), _first_pass, "n long, digest binary, heavy array<bigint>, heavy_n array<bigint>"))
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "uid")
+    first = materialise(map_texts(rows, "text", ("doc_id", "uid"), _first_pass(width), "n long, digest binary, heavy array<bigint>, heavy_n array<bigint>"))
     every = first.select("doc_id", "uid", "n", "digest")
     heavy = spark.sparkContext.broadcast(_heavy(first))
     classes = materialise(every.where("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.first("n").alias("n")))
 
     copies = materialise(every.where("n > 0").select("uid").join(classes.select("uid"), "uid", "left_anti"))
     alone = pick(rows, copies, "uid", "left_anti")
-    prefixes = materialise(map_texts(alone, "text", ("uid",), _first_prefixes(heavy, percent), "n long, first array<bigint>").where("n > 0"))
+    prefixes = materialise(map_texts(alone, "text", ("uid",), _first_prefixes(heavy, percent, width), "n long, first array<bigint>").where("n > 0"))
     member = _members(prefixes, percent)
     discard(prefixes, copies)
     left = materialise(member.select("uid").distinct())
-    traits = materialise(map_texts(pick(rows, left, "uid", "left_semi"), "text", ("uid",), _traits(heavy, percent), "n long, second array<int>, third array<int>, sketch array<bigint>, s array<bigint>"))
+    traits = materialise(map_texts(pick(rows, left, "uid", "left_semi"), "text", ("uid",), _traits(heavy, percent, width), "n long, second array<int>, third array<int>, sketch array<bigint>, s array<bigint>"))
+    heavy.destroy()
+    discard(left)
     marks = traits.select("uid", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)))
 
-    lead = member.groupBy("token").agg(F.min("uid").alias("lead"))
-    shares = member.join(lead, "token").where("uid <> lead").groupBy("lead", "uid").agg(F.count(F.lit(1)).alias("n"))
-    star = shares.groupBy("uid").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("uid").alias("b"))
-    star = star.join(marks.select(F.col("uid").alias("a"), F.struct(*marks.columns[1:]).alias("x")), "a").join(marks.select(F.col("uid").alias("b"), F.struct(*marks.columns[1:]).alias("y")), "b")
-    links = _verified(star.where(_may_link("x", "y", percent)).select("a", "b"), traits, percent)
-    joined = components(links)
-
-    placed = member.select("token", "uid").join(joined.withColumnRenamed("v", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    mixed_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = materialise(placed.join(mixed_, "token").join(marks, "uid"))
-    a, b = open_.alias("a"), open_.alias("b")
-    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent))
-    more = _verified(cross.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct(), traits, percent)
-    label = components(links.unionByName(more))
+    links, label = [], None
+    for n in range(STARS + 1):
+        placed = materialise(_mixed(member, label))
+        found = _verified(_stars(placed, marks, percent, n) if n < STARS else _rest(placed, marks, percent), traits, percent)
+        discard(placed)
+        if label is None or not found.isEmpty():
+            links.append(found)
+            old, label = label, components(reduce(DataFrame.unionByName, links))
+            if old is not None:
+                discard(old)
 
     of = classes.join(label.withColumnRenamed("v", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(of.join(least, "component").select("digest", "component_id"))
-    discard(classes, member, left, traits, links, joined, open_, more, label)
+    discard(classes, member, traits, *links)
     return every.join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "uid"
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, width: int = NEAR_WORDS) -> DataFrame:
     """docs with one row of each group left: that with the smallest id (null last), and the first row of these. Rows without words are groups of their own."""
     uid = free_name(docs, "row_uid")
-    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
-    linked = link(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), "id_", "text_").select(F.col("doc_id").alias(uid), "component_id")
+    fixed = numbered(docs, uid)
+    linked = link(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), "id_", "text_", percent, width).select(F.col("doc_id").alias(uid), "component_id")
     ids = fixed.select(uid, F.col(id_col).alias("id_")).join(linked, uid)
     ranked = F.struct(F.col("id_").isNull().alias("none"), "id_", uid)
     first = ids.groupBy("component_id").agg(F.min(ranked).alias("x")).select(F.col(f"x.{uid}").alias(uid))

@@ -2,14 +2,15 @@ import random
 
 from edge import clashing, documents, edge_rows
 
-from linkspan.llm import ngram_join
+from linkspan.llm import graph, ngram_join
+from linkspan.llm.common import materialise, numbered
 
 
-def brute(rows):
+def brute(rows, percent=90, width=3):
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     label = list(range(len(rows)))
 
     def root(i):
@@ -20,7 +21,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 label[root(i)] = root(j)
     groups = {}
     for i, r in enumerate(rows):
@@ -29,8 +30,9 @@ def brute(rows):
 
 
 def same(spark, rows):
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(documents(spark, rows)).collect()), key=repr)
-    assert got == brute([r[:2] for r in rows])
+    for percent, width in ((90, 3), (80, 5)):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(documents(spark, rows), percent=percent, width=width).collect()), key=repr)
+        assert got == brute([r[:2] for r in rows], percent, width)
 
 
 def test_edges(spark):
@@ -52,6 +54,46 @@ def test_chains_and_near_copies(spark):
     same(spark, rows)
 
 
+def test_near_copies_of_one_text(spark, monkeypatch):
+    """A large group in which few pairs link directly: leads alone do not join it, and its buckets are dealt out by blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "STARS", 1)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for k in rng.sample(range(120), rng.choice((1, 2, 3, 4))):
+            text[k] = f"x{rng.randrange(900)}"
+        rows.append((i, " ".join(text)))
+    same(spark, rows)
+
+
+def test_a_path_is_joined_in_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "materialise", lambda df, f=graph.materialise: tables.append(1) or f(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(5000, 5001), (7, 7)], "a long, b long")
+    label = {r.v: r.component for r in graph.components(edges).collect()}
+    assert len(label) == 1003 and len({label[i] for i in range(1001)}) == 1 and label[5000] == label[5001] != label[0] and label[0] in range(1001)
+    assert len(tables) <= 3 * 14  # two tables a round, and one on the way back
+
+
+def test_readings_dealt_out_otherwise(spark):
+    """Row numbers mean the same rows, whatever the number of splits of a reading."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    key, before = "spark.sql.leafNodeDefaultParallelism", spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    read = {}
+    try:
+        for df in (docs, materialise(docs.repartition(7)), spark.createDataFrame(docs.limit(50).collect(), docs.schema)):
+            rows = numbered(df, "uid")
+            for n in ("1", "13"):
+                spark.conf.set(key, n)
+                read[n] = {(r.uid, r.doc_id) for r in rows.select("uid", "doc_id").collect()}
+            assert read["1"] == read["13"] and len({u for u, _ in read["1"]}) == df.count()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def test_a_common_passage_does_not_link(spark):
     rng = random.Random(4)
     passage = " ".join(f"p{i}" for i in range(60))
