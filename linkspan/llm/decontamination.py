@@ -14,8 +14,10 @@ meet the conditions. Plain windows have no slots, so their consistency is 1.
 
 A document leaks an item when at least ``COVERED`` of the item's windows, or ``LONG_RUN`` of them,
 are found in it, and the slots agree: each value that a placeholder stands for in the item must be
-replaced by one value throughout, for ``CONSISTENT`` of the slots met. So a question with its names
-and numbers exchanged is caught, and a text that merely has the same shape is not.
+replaced by one value throughout, and each value in the document must replace one value only, for
+``CONSISTENT`` of the slots met. A slot counts once by its place, however many windows cover it. So a
+question with its names and numbers exchanged is caught, and a text that merely has the same shape, or
+is torn from several variants, is not.
 
 A document may hold an item several times, each time with other values. Both conditions are therefore
 asked of the whole document and of each occurrence, and one that meets them is enough: matches at one
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import free_name, map_texts, materialise, pick, stable, table
+from linkspan.llm.common import free_name, map_texts, materialise, numbered, pick, table
 
 WINDOW = 8
 SHORTEST = 5
@@ -151,12 +153,16 @@ def windows(tokens: np.ndarray, slots: np.ndarray | None, ends: np.ndarray, leng
     return h, (text[:n] == text[length - 1 :]) & (2 * few <= length)
 
 
+def _slot_places(slots: np.ndarray, at: int, length: int) -> list[int]:
+    return np.flatnonzero(slots[at : at + length]).tolist()
+
+
 def _slot_words(slots: np.ndarray, words: np.ndarray, at: int, length: int, vocabulary: Vocabulary) -> list[str]:
     return [vocabulary.word[w] for w, s in zip(words[at : at + length], slots[at : at + length], strict=True) if s]
 
 
-def _all_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, int, int, list[str]]]:
-    """(hash, place, length, slot words) of an item's template windows, each with its names as slots and as words: texts in one case show no names."""
+def _all_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, int, int, list[str], list[int]]]:
+    """(hash, place, length, slot words, their places in the window) of an item's template windows, each with its names as slots and as words: texts in one case show no names."""
     out: dict[tuple[int, int], tuple] = {}
     for names in (True, False):
         tokens, slots, words, ends = canonical([text], vocabulary, names)
@@ -166,7 +172,7 @@ def _all_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int, in
         h, counts = windows(tokens, slots, ends, length)
         for i, (x, c) in enumerate(zip(h.view(np.int64).tolist(), counts, strict=True)):
             if c:
-                out.setdefault((x, i), (x, i, length, _slot_words(slots, words, i, length, vocabulary)))
+                out.setdefault((x, i), (x, i, length, _slot_words(slots, words, i, length, vocabulary), _slot_places(slots, i, length)))
     return list(out.values())
 
 
@@ -181,14 +187,15 @@ def _plain_windows(text: str | None, vocabulary: Vocabulary) -> list[tuple[int,
 
 
 WINDOW_TYPE = "array<struct<h:bigint,at:int,len:int,plain:boolean,slots:array<string>>>"
+ITEM_TYPE = WINDOW_TYPE.replace(">>>", ">,places:array<int>>>")
 
 
 def _item_windows():
     vocabulary = Vocabulary()
 
     def run(texts: list) -> dict[str, list]:
-        template = [[{"h": h, "at": i, "len": n, "plain": False, "slots": s} for h, i, n, s in _all_windows(t, vocabulary)] for t in texts]
-        plain = [[{"h": h, "at": i, "len": n, "plain": True, "slots": []} for h, i, n in _plain_windows(t, vocabulary)] for t in texts]
+        template = [[{"h": h, "at": i, "len": n, "plain": False, "slots": s, "places": p} for h, i, n, s, p in _all_windows(t, vocabulary)] for t in texts]
+        plain = [[{"h": h, "at": i, "len": n, "plain": True, "slots": [], "places": []} for h, i, n in _plain_windows(t, vocabulary)] for t in texts]
         return {"w": template, "p": plain}
 
     return run
@@ -243,7 +250,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, its row number `uid`, item_id, n_windows of the item, n_matched of them and consistency, for each document and item that it leaks."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), F.monotonically_increasing_id().alias("item"))
-    items = map_texts(items, "text", ("item_id", "item"), _item_windows, f"w {WINDOW_TYPE}, p {WINDOW_TYPE}")
+    items = map_texts(items, "text", ("item_id", "item"), _item_windows, f"w {ITEM_TYPE}, p {ITEM_TYPE}")
     items = items.select("item_id", "item", F.explode(F.array("w", "p")).alias("w"))
     n_windows = F.size(F.array_distinct(F.transform("w", lambda x: x["at"])))
     tokens = F.array_max(F.transform("w", lambda x: x["at"] + x["len"]))
@@ -258,15 +265,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         rows, lengths, wanted = rows.limit(0), [(False, WINDOW)], None
     found = map_texts(rows, "text", ("doc_id", "uid"), _document_windows(lengths, wanted), f"w {WINDOW_TYPE}")
     found = found.where(F.size("w") > 0).select("doc_id", "uid", F.explode("w").alias("w")).select("doc_id", "uid", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
-    met = found.join(items.select("item_id", "item", "n_windows", "tokens", "plain", F.col("at").alias("place"), "h", F.col("slots").alias("item_slots")), "h")
-    met = _occurrences(materialise(met.withColumn("shift", F.col("at") - F.col("place"))))
+    met = found.join(items.select("item_id", "item", "n_windows", "tokens", "plain", F.col("at").alias("place"), "h", F.col("slots").alias("item_slots"), "places"), "h")
+    met = materialise(met.withColumn("shift", F.col("at") - F.col("place")))
+    if wanted is not None:
+        wanted.destroy()
+    met = _occurrences(met)
     one = ["uid", "item", "plain", "scope"]
     matched = met.groupBy(*one).agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"), F.count_distinct("place").cast("int").alias("n_matched"))
     matched = matched.where((F.col("n_matched") >= COVERED * F.col("n_windows")) | (F.col("n_matched") >= LONG_RUN))
-    pairs = met.where(F.size("item_slots") > 0).select(*one, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    values = pairs.groupBy(*one, "s.item_slots", "s.slots").agg(F.count(F.lit(1)).alias("n"))
-    each = values.groupBy(*one, "item_slots").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    agreed = each.groupBy(*one).agg((F.sum("best") / F.sum("n")).alias("consistency"))
+    slots = met.where(F.size("item_slots") > 0).select(*one, "at", "place", F.explode(F.arrays_zip("item_slots", "slots", "places")).alias("s"))
+    slots = slots.select(*one, (F.col("at") + F.col("s.places")).alias("here"), (F.col("place") + F.col("s.places")).alias("there"), "s.item_slots", "s.slots").distinct()
+    values = slots.groupBy(*one, "item_slots", "slots").agg(F.count(F.lit(1)).alias("n"))
+    ways = []
+    for name, side in (("forth", "item_slots"), ("back", "slots")):
+        each = values.groupBy(*one, side).agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+        ways.append(each.groupBy(*one).agg((F.sum("best") / F.sum("n")).alias(name)))
+    agreed = ways[0].join(ways[1], one).select(*one, F.least("forth", "back").alias("consistency"))
     out = matched.join(agreed, one, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= CONSISTENT)
     figures = F.struct("doc_id", "item_id", "n_windows", "n_matched", "consistency")
     order = F.struct(~F.col("plain"), F.col("scope.kind") == WHOLE, "n_matched", "consistency")
@@ -277,7 +291,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that leak an item."""
     uid = free_name(docs, "row_uid")
-    fixed = stable(docs).withColumn(uid, F.monotonically_increasing_id())
+    fixed = numbered(docs, uid)
     found = leaks(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), benchmark, "id_", "text_")
     gone = materialise(found.select(F.col("doc_id").alias(uid)).distinct())
     return pick(fixed, gone, uid, "left_anti").select(*docs.columns)

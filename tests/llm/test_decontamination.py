@@ -49,3 +49,22 @@ def test_copies_of_short_items_are_caught(spark):
 def test_plain_windows_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
     assert leaked(spark, [(1, SUM), (2, "What is 2+2?"), (3, "Compute 1 + 2")], [SUM, "What is 2+2?"]) == {(1, 0), (2, 1)}
+
+
+def test_each_value_has_one_other_both_ways(spark):
+    """Two values of the item that one value of the document replaces do not fit; one slot under many windows is one slot."""
+    item = "Say that 3 men dig a hole in 7 hours and then 3 men more come to help them so that after 7 hours the work of 3 men is done"
+    merged = item.replace("3", "5").replace("7", "5")
+    other = item.replace("3", "4").replace("7", "9")
+    once = item.replace("7 hours the work", "8 hours the work")
+    got = leaked(spark, [(1, merged), (2, other), (3, item), (4, once)], [item])
+    assert got == {(2, 0), (3, 0), (4, 0)}
+    rows = decontamination.leaks(documents(spark, [(4, once)]), bench(spark, [item])).collect()
+    assert rows[0].consistency == 0.8  # one of five slots
+
+
+def test_without_the_slot_check_a_torn_question_passes(spark, monkeypatch):
+    torn = "First Maria gives 1 coins to the boy and then Jonas takes 2 coins from him while Peter sees 3 coins fall"
+    assert leaked(spark, [(1, torn)], [ITEM]) == set()
+    monkeypatch.setattr(decontamination, "CONSISTENT", 0)
+    assert leaked(spark, [(1, torn)], [ITEM]) == {(1, 0)}
