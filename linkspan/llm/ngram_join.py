@@ -49,6 +49,8 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Rounds in which sets are held against leads, and members of a bucket from which it is dealt out by pairs of blocks.
 STARS = 2
 BLOCK = 1000
+#: Tokens that a set carries into its buckets, so that it meets another in one of them only; it meets it in all where it has more.
+CARRIED = 256
 #: The most frequent shingles that the orders know, and the count in a batch of rows from which a shingle is counted.
 HEAVY = 200_000
 BATCH_COUNT = 3
@@ -199,17 +201,15 @@ def _members(prefixes: DataFrame, percent: int) -> DataFrame:
     A set that links with one of m members shares shared_size(m) of them at least, and m is percent of its own size or more.
     """
     ceiling = F.floor((percent * F.col("n") + 99) / F.lit(100))
-    least = prefixes.select("uid", (1 + F.floor(ceiling / F.lit(10))).alias("least"))
-    member = prefixes.select("uid", (F.col("n") - ceiling + 1).alias("short"), F.posexplode("first").alias("pos", "token")).select("uid", F.struct("token", (F.col("pos") < F.col("short")).alias("core")).alias("x"))
-    kept = []
+    cols = ("uid", "least", "token", "core")
+    member = prefixes.select("uid", (1 + F.floor(ceiling / F.lit(10))).alias("least"), (F.col("n") - ceiling + 1).alias("short"), F.posexplode("first").alias("pos", "token"))
+    member, kept = member.select("uid", "least", "token", (F.col("pos") < F.col("short")).alias("core")), []
     for _ in range(2):  # sets that went leave others with too few
-        shared = member.groupBy("x.token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
-        held = member.join(shared, F.col("x.token") == F.col("token")).groupBy("uid").agg(F.collect_list("x").alias("held"))  # a set's own prefix at most
-        enough = materialise(held.join(least, "uid").where(F.size("held") >= F.col("least")).select("uid", "held"))
-        kept.append(enough)
-        member = enough.select("uid", F.explode("held").alias("x"))
-    shared = member.groupBy("x.token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
-    out = materialise(member.join(shared, F.col("x.token") == F.col("token")).select("token", "uid", "x.core"))
+        shared = member.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+        held = member.join(shared, "token").groupBy("uid").agg(F.first("least").alias("least"), F.collect_list(F.struct("token", "core")).alias("held"))  # a set's own prefix at most
+        kept.append(materialise(held.where(F.size("held") >= F.col("least"))))
+        member = kept[-1].select("uid", "least", F.explode("held").alias("x")).select("uid", "least", "x.*").select(*cols)
+    out = materialise(member.select("token", "uid", "core"))
     discard(*kept)
     return out
 
@@ -223,14 +223,13 @@ def _mixed(member: DataFrame, label: DataFrame | None) -> DataFrame:
     return placed.join(several, "token")
 
 
-def _stars(placed: DataFrame, marks: DataFrame, percent: int, n: int) -> DataFrame:
-    """Pairs (a, b): each set with the one lead of its tokens, of another component, with which it shares most; those that sizes and sketches allow."""
+def _stars(placed: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b): each set with the one lead of its tokens, of another component, with which it shares most."""
     order = F.struct(F.xxhash64("uid", F.lit(n)).alias("h"), F.col("uid").alias("lead"), F.col("component").alias("of"))
     lead = placed.groupBy("token").agg(F.min(order).alias("x")).select("token", "x.lead", "x.of")
     shares = placed.join(lead, "token").where("component <> of").groupBy("lead", "uid").agg(F.count(F.lit(1)).alias("n"))
-    star = shares.groupBy("uid").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("uid").alias("b"))
-    x, y = (marks.select(F.col("uid").alias(c), F.struct(*marks.columns[1:]).alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    return star.join(x, "a").join(y, "b").where(_may_link("x", "y", percent)).select("a", "b")
+    best = F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("best")
+    return shares.groupBy("uid").agg(best).select((-F.col("best.m")).alias("a"), F.col("uid").alias("b"))
 
 
 def _rest(placed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -240,26 +239,25 @@ def _rest(placed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     own = core.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("token", "uid", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    dealt = materialise(dealt.join(marks, "uid"))
+    # two sets that share several tokens meet at the least of them only, where both have few enough to carry
+    tokens = core.groupBy("uid").agg(F.collect_list("token").alias("tokens")).select("uid", F.when(F.size("tokens") <= CARRIED, F.col("tokens")).alias("tokens"))
+    dealt = materialise(dealt.join(marks, "uid").join(tokens, "uid"))
     a, b = dealt.alias("a"), dealt.alias("b")
+    least = F.coalesce(F.array_min(F.array_intersect("a.tokens", "b.tokens")) == F.col("a.token"), F.lit(True))
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
     once = (F.col("a.block") != F.col("b.block")) | (F.col("a.lo") == F.col("a.hi"))
-    pairs = a.join(b, same & once & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b", percent))
+    pairs = a.join(b, same & once & (F.col("a.component") < F.col("b.component")) & F.when(_may_link("a", "b", percent), least).otherwise(False))
     return pairs.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link: they share prefix shingles under the second and the third order, and enough of all."""
-    own = traits.select("uid", "second", "third")
-    one = pairs.join(own.select(F.col("uid").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3")), "a")
-    two = one.join(own.select(F.col("uid").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3")), "b")
-    pairs = materialise(two.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
-    sets = traits.select("uid", "s")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    out = materialise(both.withColumn("c", common).where(100 * F.col("c") >= percent * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b"))
-    discard(pairs)
-    return out
+    """Those of the pairs (a, b) that link: sizes and sketches allow it, they share prefix shingles under the second and the third order, and enough of all."""
+    x, y = (traits.select(F.col("uid").alias(c), F.struct("n", "second", "third", "s", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH))).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b")
+    filters = _may_link("x", "y", percent) & F.arrays_overlap("x.second", "y.second") & F.arrays_overlap("x.third", "y.third")
+    common = F.size(F.array_intersect("x.s", "y.s"))
+    enough = F.when(filters, 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)).otherwise(False)
+    return materialise(both.where(enough).select("a", "b"))
 
 
 def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +305,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     links, label = [], None
     for n in range(STARS + 1):
         placed = materialise(_mixed(member, label))
-        found = _verified(_stars(placed, marks, percent, n) if n < STARS else _rest(placed, marks, percent), traits, percent)
+        found = _verified(_stars(placed, n) if n < STARS else _rest(placed, marks, percent), traits, percent)
         discard(placed)
         if label is None or not found.isEmpty():
             links.append(found)
