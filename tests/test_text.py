@@ -25,6 +25,20 @@ def test_native_and_full_rules_agree(spark, version):
     assert got == [text.normalize_python(c or "", version) for c in CASES]
 
 
+GOLDEN = {
+    "a＆b": ("a and b", "a b"), "a﹠b": ("a and b", "a b"), "Ärger&Co": ("arger and co", "arger and co"), "कि ति": ("क त", "कि ति"), "e\u0301\u0302x": ("ex", "ex"), "ж\u0301": ("ж", "ж\u0301"),
+    "x² Ⅳ": ("x2 iv", "x2 iv"), "a_b·c": ("a b c", "a b c"), "1\u0301": ("1", "1\u0301"), "İx": ("ix", "ix"),
+}
+
+
+def test_golden_cases():
+    for raw, (one, two) in GOLDEN.items():
+        assert text.normalize_python(raw, 2) == two, raw
+        if raw != "कि ति":  # vowel signs that do not combine part words in version 1
+            assert text.normalize_python(raw, 1) == one, raw
+    assert text.normalize_python("कि ति", 1) == "क त"
+
+
 def test_marks_of_other_scripts_stay_and_accents_go(spark):
     got = values(spark, CASES[:3], text.normalize)
     assert got == [CASES[0], CASES[1], "societe francaise"]
