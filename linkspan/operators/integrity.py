@@ -48,6 +48,24 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("status", F.when(F.col("failures") == 0, "PASS").otherwise("FAIL"))
 
 
+def require(ids: DataFrame, known: DataFrame, on: str, what: str) -> DataFrame:
+    """ids, if each is known; else ValueError with how many are not and the first of them."""
+    lost = ids.select(on).distinct().join(known.select(on), on, "left_anti")
+    first = [r[0] for r in lost.orderBy(on).limit(5).collect()]
+    if first:
+        raise ValueError(f"{lost.count()} {what} are missing, among them {first}")
+    return ids
+
+
+def tallies(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """For each table its rows and the distinct values of its key."""
+    out = None
+    for i, (name, (df, key)) in enumerate(tables.items()):
+        one = df.agg(F.lit(i).alias("step"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def issues(checks: dict[str, DataFrame], most: int = 20) -> DataFrame:
     """The first rows that break a rule, at most so many of each check, as JSON."""
     out = None

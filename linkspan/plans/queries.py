@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from linkspan.functions import similarity as sim
 from linkspan.functions import text
 from linkspan.operators import blocking, integrity, metrics, models, sampling
 from linkspan.operators.features import FEATURES, SEQUENCE_BASED, with_features
-from linkspan.operators.keys import INNER, KINDS, SEP, keys
+from linkspan.operators.keys import INNER, KINDS, KINDS_V1, SEP, keys
 from linkspan.plans import linkage, sql
-from linkspan.sources import records
+from linkspan.sources import records, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,8 +46,9 @@ def biz_parts(spark: SparkSession, sf: str) -> DataFrame:
     return records.from_parts(load(spark, sf, "part"))
 
 
-def sides(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return records.split_sources(records.prepare(raw, keep=("source",)))
+def sides(raw: DataFrame, prepare=records.prepare) -> tuple[DataFrame, DataFrame]:
+    """Reference records and targets. Records are prepared once and written down: postings, buckets and attributes all read them."""
+    return records.split_sources(scratch.written(prepare(raw, keep=("source",))))
 
 
 def silver(raw: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ SHOW = "translate(key, chr(1) || chr(2), '|+')"
 
 
 @query("scan_audit", """select coalesce(lang, 'all') as country, count(*) as n_rows, sum((trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '')::int)::bigint as blank_text,
-  sum((coalesce(source, '') = '')::int)::bigint as blank_source from documents group by grouping sets ((), (lang))""")
+  sum((coalesce(source, '') = '')::int)::bigint as blank_source, sum(strlen(coalesce(text, '')) + strlen(coalesce(source, '')))::bigint as bytes from documents group by grouping sets ((), (lang))""")
 def scan_audit(spark, sf):
     return metrics.source_audit(load(spark, sf, "documents"), ("text", "source"), "lang")
 
@@ -206,9 +209,30 @@ for _k in (10, 500):
     query(f"cheap_rank_{_k}", sql.chain(*POOLED, sql.PAIRS) + f" select eid, tid, row_number() over (partition by eid order by {sql.CHEAP} desc, tid desc) as rank, round({sql.CHEAP}, 6) as score from pairs qualify rank <= {_k}")(_cheap(_k))
 
 
-@query("cheap_rank_v1", sql.chain(*POOLED, sql.PAIRS) + f" select eid, tid, row_number() over (partition by eid order by {sql.CHEAP_V1} desc, tid desc) as rank, round({sql.CHEAP_V1}, 6) as score from pairs qualify rank <= 500")
+FIRST = (sql.DOCUMENTS, sql.PREPARED_V1, sql.RANKED, sql.ALL_KEYS_V1, sql.POOL)
+
+
+def _attached_v1(spark, sf):
+    """The first version throughout: its normalisation, its keys, its pool."""
+    refs, targets = sides(biz_docs(spark, sf), records.prepare_v1)
+    found = blocking.pool(blocking.postings(refs, "eid", KINDS_V1), blocking.postings(targets, "tid", KINDS_V1))
+    return blocking.attach(found, refs, targets)
+
+
+@query("prepare_v1_tokens", sql.chain(sql.DOCUMENTS, sql.PREPARED_V1) + """ select entity_id, source, name, compact, array_to_string(nt, ' ') as nt, array_to_string("at", ' ') as "at", country from prep""")
+def prepare_v1_tokens(spark, sf):
+    p = records.prepare_v1(biz_docs(spark, sf), keep=("source",))
+    return p.select("entity_id", "source", "name", "compact", F.array_join("nt", " ").alias("nt"), F.array_join("at", " ").alias("at"), "country")
+
+
+@query("block_v1", sql.chain(*FIRST) + " select eid, tid from pool")
+def block_v1(spark, sf):
+    return _attached_v1(spark, sf).select("eid", "tid")
+
+
+@query("cheap_rank_v1", sql.chain(*FIRST, sql.PAIRS) + f" select eid, tid, row_number() over (partition by eid order by {sql.CHEAP_V1} desc, tid desc) as rank, round({sql.CHEAP_V1}, 6) as score from pairs qualify rank <= 500")
 def cheap_rank_v1(spark, sf):
-    scored = _attached(spark, sf).withColumn("cheap", sim.cheap_score_v1("a", "b"))
+    scored = _attached_v1(spark, sf).withColumn("cheap", sim.cheap_score_v1("a", "b"))
     return blocking.top(scored, "cheap", blocking.PREFILTER, ties_descending=True).select("eid", "tid", "rank", F.round("cheap", 6).alias("score"))
 
 
@@ -220,7 +244,7 @@ def sequence_ratio(spark, sf):
 
 @query("score_v1")
 def score_v1(spark, sf):
-    return _attached(spark, sf).select("eid", "tid", F.round(sim.score_v1("a", "b"), 6).alias("score"))
+    return _attached_v1(spark, sf).select("eid", "tid", F.round(sim.score_v1("a", "b"), 6).alias("score"))
 
 
 @query("fine_rank_100")
@@ -387,12 +411,15 @@ def blocking_recall_at_k(spark, sf):
 
 
 @query("stage_recall", sql.chain(*POOLED, sql.PAIRS, sql.TRUTH) + f""", tr as (select distinct * from truth), pre as (select eid, tid from pairs qualify row_number() over (partition by eid order by {sql.CHEAP} desc, tid desc) <= 500),
-c as (select 0 as step, 'pool' as stage, eid, tid from pool union all select 1, 'prefilter', eid, tid from pre),
+cut as (select eid, tid from pairs qualify row_number() over (partition by eid order by {sql.CHEAP} desc, tid desc) <= 100),
+c as (select 0 as step, 'pool' as stage, eid, tid from pool union all select 1, 'prefilter', eid, tid from pre union all select 2, 'top_100', eid, tid from cut),
 n as (select step, stage, eid, count(*) as n, count(tr.tid) as hits from c left join tr using (eid, tid) group by step, stage, eid)
-select step, stage, sum(n)::bigint as pairs, sum(hits)::bigint as recovered, max(n) as max_pairs, (select count(*) from tr) as truth_pairs, round(sum(hits)::double / nullif((select count(*) from tr), 0), 6) as recall from n group by step, stage""")
+select *, coalesce(recovered <= lag(recovered) over (order by step), true) as monotone from (
+select step, stage, sum(n)::bigint as pairs, sum(hits)::bigint as recovered, max(n) as max_pairs, (select count(*) from tr) as truth_pairs, round(sum(hits)::double / nullif((select count(*) from tr), 0), 6) as recall from n group by step, stage)""")
 def stage_recall(spark, sf):
     pairs = _attached(spark, sf).withColumn("cheap", sim.cheap_score("a", "b")).select("eid", "tid", "cheap")
-    return metrics.stage_recall(silver(biz_docs(spark, sf)), {"pool": pairs, "prefilter": blocking.top(pairs, "cheap", blocking.PREFILTER, ties_descending=True)})
+    cuts = {name: blocking.top(pairs, "cheap", k, ties_descending=True) for name, k in (("prefilter", blocking.PREFILTER), ("top_100", blocking.CANDIDATES))}
+    return metrics.stage_recall(silver(biz_docs(spark, sf)), {"pool": pairs, **cuts})
 
 
 BOOT = f"""with {", ".join(EVAL)}, {_counts_sql([0.03, 0.07])},
@@ -452,12 +479,16 @@ def country_disagreement(spark, sf):
 
 
 @query("integrity_report", """with c as (select 0 as step, 'orphans' as "check", count(*) as failures from lineitem anti join (select o_orderkey as l_orderkey from orders) using (l_orderkey)
-union all select 1, 'shared', count(*) from (select l_partkey from lineitem where l_returnflag = 'R' group by 1 having count(distinct l_orderkey) > 1))
+union all select 1, 'shared', count(*) from (select l_partkey from lineitem where l_returnflag = 'R' group by 1 having count(distinct l_orderkey) > 1)
+union all select 2, 'duplicates', count(*) from (select 1 from lineitem group by l_orderkey, l_partkey having count(*) > 1)
+union all select 3, 'conflicts', count(*) from (select l_orderkey, first_value(l_orderkey) over (partition by l_partkey order by l_orderkey) as o from lineitem where l_returnflag = 'R') where o <> l_orderkey
+union all select 4, 'countries', count(*) from lineitem left join (select o_orderkey, c_nationkey from orders join customer on o_custkey = c_custkey) on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey where c_nationkey is distinct from s_nationkey)
 select *, case when failures = 0 then 'PASS' else 'FAIL' end as status from c""")
 def integrity_report(spark, sf):
     items = load(spark, sf, "lineitem")
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    return integrity.report({"orphans": integrity.orphans(items, orders, "l_orderkey"), "shared": integrity_shared_owner(spark, sf)})
+    checks = {"shared": integrity_shared_owner, "duplicates": integrity_duplicates, "conflicts": integrity_conflicts, "countries": country_disagreement}
+    return integrity.report({"orphans": integrity.orphans(items, orders, "l_orderkey"), **{n: f(spark, sf) for n, f in checks.items()}})
 
 
 LISTS = sql.chain(*POOLED, sql.PAIRS) + f", r as (select eid, tid, {sql.CHEAP} as s, row_number() over (partition by eid order by {sql.CHEAP} desc, tid desc) as rank from pairs qualify rank <= 100), " + """
@@ -485,12 +516,45 @@ def output_summary(spark, sf):
     return metrics.output_summary(_lists(spark, sf), "candidate_ids", "matched_ids")
 
 
-@query("output_validation", LISTS + " select entity_id as eid, false as misaligned, false as repeated, false as too_many, false as wrong_source, false as beyond_candidates from prep where source = 1")
+#: Lists of which every eighth breaks one rule: what customer k's candidates, matches and places are, by k % 8.
+PLANTED = """pl as (select 'S1-' || k as eid, k as s_pos, case when k % 8 = 3 then k + 1 else k end as c_pos, case when k % 8 = 6 then null else k end as m_pos,
+  case k % 8 when 0 then ['S2-' || k, 'S2-' || k] when 1 then ['S1-' || k, 'S2-' || k] when 4 then list_transform(range(0, 101), lambda i: 'S3-' || i) else ['S2-' || k, 'S3-' || k] end as c,
+  case when k % 8 = 6 then null when k % 8 = 1 then ['S1-' || k] when k % 8 = 2 then ['S3-x' || k] when k % 8 = 4 then ['S3-5'] when k % 8 = 7 then [] else ['S2-' || k] end as m
+  from (select c_custkey as k from customer))"""
+
+
+@query("output_validation", f"""with {PLANTED} select eid, s_pos is distinct from c_pos or s_pos is distinct from m_pos as misaligned,
+  len(list_distinct(c)) < len(c) or coalesce(len(list_distinct(m)) < len(m), false) as repeated, len(c) > 100 as too_many,
+  len(list_filter(list_concat(c, coalesce(m, [])), lambda x: not (starts_with(x, 'S2-') or starts_with(x, 'S3-')))) > 0 as wrong_source,
+  coalesce(len(list_filter(m, lambda x: not list_contains(c, x))) > 0, false) as beyond_candidates from pl""")
 def output_validation(spark, sf):
-    lists = _lists(spark, sf).withColumn("pos", F.substring_index("eid", "-", -1).cast("long"))
-    c = lists.select("eid", "pos", text.list_decode(F.col("candidate_ids")).alias("ids"))
-    m = lists.select("eid", "pos", text.list_decode(F.col("matched_ids")).alias("ids"))
-    return integrity.output_checks(lists.select("eid", "pos"), c, m)
+    k = F.col("k")
+    s = lambda n, c: F.concat(F.lit(f"S{n}-"), c.cast("string"))
+    rows = load(spark, sf, "customer").select(F.col("c_custkey").alias("k"), s(1, F.col("c_custkey")).alias("eid"))
+    kind = k % 8
+    many = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: s(3, i))
+    c_ids = F.when(kind == 0, F.array(s(2, k), s(2, k))).when(kind == 1, F.array(s(1, k), s(2, k))).when(kind == 4, many).otherwise(F.array(s(2, k), s(3, k)))
+    m_ids = F.when(kind == 1, F.array(s(1, k))).when(kind == 2, F.array(s(3, F.concat(F.lit("x"), k.cast("string"))))).when(kind == 4, F.array(F.lit("S3-5"))).when(kind == 7, F.array().cast("array<string>")).otherwise(F.array(s(2, k)))
+    source = rows.select("eid", k.alias("pos"))
+    candidates = rows.select("eid", F.when(kind == 3, k + 1).otherwise(k).alias("pos"), c_ids.alias("ids"))
+    matches = rows.where(kind != 6).select("eid", k.alias("pos"), m_ids.alias("ids"))
+    return integrity.output_checks(source, candidates, matches)
+
+
+@query("recompute_saved", sql.chain(*POOLED, sql.PAIRS, sql.TRUTH) + LISTS[len(sql.chain(*POOLED, sql.PAIRS)):] + """, o as (select coalesce(c, '') as c, coalesce(m, '') as m, entity_id from prep left join l on eid = entity_id where source = 1), tr as (select distinct * from truth)
+select count(*) as entities, sum(len(list_filter(string_split(m, ','), lambda x: x <> '')))::bigint as predicted,
+  (select count(*) from (select entity_id as eid, unnest(string_split(m, ',')) as tid from o) join tr using (eid, tid)) as tp, (select count(*) from tr) as truth_pairs,
+  (select count(*) from (select entity_id as eid, unnest(string_split(c, ',')) as tid from o) join tr using (eid, tid)) as candidate_hits from o""")
+def recompute_saved(spark, sf):
+    """Figures from the files alone: the lists are written as users get them, and read back."""
+    saved = f"{scratch.folder(spark)}/lists-{uuid.uuid4().hex}"
+    found = _lists(spark, sf)
+    for column, name in (("candidate_ids", "candidate_entity_ids"), ("matched_ids", "matched_entity_ids")):
+        records.write_lists(found.select("eid", F.col(column).alias("ids")), f"{saved}/{name}", name)
+    candidates, matches = (records.read_lists(spark, f"{saved}/{n}") for n in ("candidate_entity_ids", "matched_entity_ids"))
+    return metrics.recomputed(candidates, matches, silver(biz_docs(spark, sf)))
+
+
 
 
 # ---- models
@@ -499,8 +563,6 @@ TREE_COLUMNS = ("l_quantity", "l_discount", "l_extendedprice")
 
 
 def fixed_trees() -> models.Trees:
-    import numpy as np
-
     return models.Trees(
         roots=np.array([0, 3]), feature=np.array([0, 0, 0, 2, 1, 0, 0, 0]), threshold=np.array([24.0, 0, 0, 30000.0, 0.05, 0, 0, 0]),
         left=np.array([1, -1, -1, 4, 5, -1, -1, -1]), right=np.array([2, -1, -1, 7, 6, -1, -1, -1]), missing_left=np.ones(8, bool),
@@ -546,6 +608,61 @@ def model_select(spark, sf):
     return models.decide(scored, threshold).select("eid", "tid", "rank", F.round("score", 6).alias("score"), F.lit(threshold).alias("threshold"), F.lit(config.iterations).alias("iterations"))
 
 
+def pair_trees() -> models.Trees:
+    """Two small trees over the pair features, as plain arrays."""
+    name, address, length = (FEATURES.index(n) for n in ("name_token_jaccard", "address_token_jaccard", "name_length_ratio"))
+    return models.Trees(
+        roots=np.array([0, 5]), feature=np.array([name, address, 0, 0, 0, length, 0, 0]), threshold=np.array([0.4, 0.3, 0, 0, 0, 0.75, 0, 0]),
+        left=np.array([1, 2, -1, -1, -1, 6, -1, -1]), right=np.array([4, 3, -1, -1, -1, 7, -1, -1]), missing_left=np.zeros(8, bool),
+        value=np.array([0, 0, -1.5, 0.25, 1.0, 0, -0.5, 0.5]), baseline=0.1,
+    )
+
+
+MARGIN = f"(0.1 + case when {sql.jaccard('ant', 'bnt')} <= 0.4 then case when {sql.jaccard('aat', 'bat')} <= 0.3 then -1.5 else 0.25 end else 1.0 end + case when (case when greatest(length(ac), length(bc)) = 0 then 0 else least(length(ac), length(bc))::double / greatest(length(ac), length(bc)) end) <= 0.75 then -0.5 else 0.5 end)"
+
+
+@query("match_trees", sql.chain(*POOLED, sql.PAIRS) + f""", r as (select eid, tid, 1 / (1 + exp(-{MARGIN}::double)) as p, row_number() over (partition by eid order by {sql.CHEAP} desc, tid desc) as rank from pairs qualify rank <= 100),
+l as (select eid, string_agg(tid, ',' order by rank) as c, string_agg(tid, ',' order by rank) filter (p >= 0.6) as m from r group by eid)
+select entity_id as eid, coalesce(c, '') as candidate_entity_ids, coalesce(m, '') as matched_entity_ids from prep left join l on eid = entity_id where source = 1""")
+def match_trees(spark, sf):
+    """Inference from records to lists: candidates, features, exported trees, decisions."""
+    refs, targets = sides(biz_docs(spark, sf))
+    pairs = blocking.attach(blocking.pool(blocking.postings(refs, "eid"), blocking.postings(targets, "tid")), refs, targets)
+    ranked = blocking.top(pairs.withColumn("cheap", sim.cheap_score("a", "b")), "cheap", blocking.CANDIDATES, ties_descending=True)
+    return linkage.match(refs, targets, linkage.by_trees(pair_trees()), 0.6, ranked)
+
+
+@query("index_probe", sql.chain(*POOLED) + " select eid, tid from pool")
+def index_probe(spark, sf):
+    """The pool from an index that was built and opened again."""
+    refs, targets = sides(biz_docs(spark, sf))
+    path = f"{scratch.folder(spark)}/index-{uuid.uuid4().hex}"
+    linkage.build_index(targets, path)
+    return linkage.probe(refs, spark, path)
+
+
+@query("head_limit", "select o_orderkey, o_orderdate from orders order by o_orderkey limit 50")
+def head_limit(spark, sf):
+    return sampling.head(load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", 50)
+
+
+@query("integrity_issues", """with i as (select 'shared' as "check", l_partkey as n from lineitem where l_returnflag = 'R' group by l_partkey having count(distinct l_orderkey) > 1
+  union all select 'orphans', l_orderkey from lineitem anti join (select o_orderkey as l_orderkey from orders where o_orderstatus <> 'P') using (l_orderkey))
+select "check", '{"n":' || n || '}' as issue from i qualify row_number() over (partition by "check" order by issue) <= 20""")
+def integrity_issues(spark, sf):
+    """The first 20 rows of each check that fails."""
+    items = load(spark, sf, "lineitem")
+    kept = load(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    shared = integrity.shared_owners(items.where("l_returnflag = 'R'"), "l_partkey", "l_orderkey").select(F.col("l_partkey").alias("n"))
+    return integrity.issues({"shared": shared, "orphans": integrity.orphans(items.select("l_orderkey"), kept, "l_orderkey").select(F.col("l_orderkey").alias("n"))})
+
+
+@query("integrity_tallies", """select 0 as step, 'orders' as name, count(*) as n_rows, count(distinct o_orderkey) as n_keys from orders union all select 1, 'items', count(*), count(distinct l_orderkey) from lineitem
+  union all select 2, 'customers', count(*), count(distinct c_custkey) from customer""")
+def integrity_tallies(spark, sf):
+    return integrity.tallies({"orders": (load(spark, sf, "orders"), "o_orderkey"), "items": (load(spark, sf, "lineitem"), "l_orderkey"), "customers": (load(spark, sf, "customer"), "c_custkey")})
+
+
 @query("match_lists")
 def match_lists(spark, sf):
     refs, targets = sides(biz_docs(spark, sf))

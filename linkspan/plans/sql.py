@@ -34,6 +34,9 @@ prep as (select entity_id, source, name, country,
   list_sort(list_distinct(list_filter(string_split(name, ' '), lambda t: t <> '' and not list_contains({_list(STOP)}, t)))) as nt,
   list_sort(list_distinct(list_transform(list_filter(string_split(address, ' '), lambda t: t <> ''), lambda t: {ALIAS}))) as "at" from norm)"""
 
+#: The first version strips no domains.
+PREPARED_V1 = PREPARED.replace(normal(domain("business_name")), normal("business_name"))
+
 RANKED = f"""tok as (select entity_id, country, t, row_number() over (partition by entity_id order by length(t) desc, t) as rk from (select entity_id, country, unnest(nt) as t from prep) qualify rk <= 8),
 num as (select entity_id, country, t, row_number() over (partition by entity_id order by t) as rk from (select entity_id, country, unnest("at") as t from prep) where regexp_full_match(t, '[0-9]+') qualify rk <= 4),
 plc as (select entity_id, country, t, row_number() over (partition by entity_id order by length(t) desc, t) as rk from (select entity_id, country, unnest("at") as t from prep)
@@ -56,6 +59,7 @@ KEY_SQL_V1 = {
     "pair": KEY_SQL["name_pair"].replace("'name_pair'", "'pair'"),
 }
 ALL_KEYS = "keys as (" + " union ".join(KEY_SQL.values()) + ")"
+ALL_KEYS_V1 = "keys as (" + " union ".join([KEY_SQL[k] for k in ("exact", "token", "number_name")] + list(KEY_SQL_V1.values())) + ")"
 POOL = """post as (select k.entity_id, key, source from keys k join prep using (entity_id)),
 asked as (select distinct key from post where source = 1),
 size as (select key, count(*) as n from post semi join asked using (key) where source <> 1 group by key),

@@ -32,14 +32,33 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(first).alias("eid"), text.list_decode(F.coalesce(second, F.lit(""))).alias("matched"))
 
 
-def read_sample(spark: SparkSession, sample: str, pairs: str) -> tuple[DataFrame, DataFrame]:
-    """A validation sample and its candidate lists as long pairs with ranks."""
+def read_sample(spark: SparkSession, sample: str, pairs: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A validation sample and its candidate lists as long pairs with ranks; of one split where it is named."""
     options = {"sep": "\t", "header": True, "quote": '"', "escape": '"'}
     rows = spark.read.options(**options).csv(sample)
     lists = spark.read.options(**options).csv(pairs)
     eid, ids = lists.columns[:2]
     ranked = lists.select(F.col(eid).alias("eid"), F.posexplode(text.list_decode(F.coalesce(ids, F.lit("")))).alias("rank", "tid"))
-    return rows.fillna(""), ranked.withColumn("rank", F.col("rank") + 1)
+    rows, ranked = rows.fillna(""), ranked.withColumn("rank", F.col("rank") + 1)
+    if split is not None:
+        rows = rows.where(F.col("split") == split)
+        ranked = ranked.join(rows.select(F.col(rows.columns[0]).alias("eid")), "eid", "left_semi")
+    return rows, ranked
+
+
+def write_sample(sample: DataFrame, path: str) -> None:
+    """A sample of bounded size as one tab-separated file, in the order of its first column."""
+    sample.orderBy(sample.columns[0]).coalesce(1).write.mode("overwrite").options(sep="\t", header=True, emptyValue="").csv(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report, a row for each line of it, as one JSON file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    """What write_lists wrote: eid and its ids as an array."""
+    return read_truth(spark, path).withColumnRenamed("matched", "ids")
 
 
 def id_lists(entities: DataFrame, pairs: DataFrame, order: str = "rank") -> DataFrame:

@@ -5,15 +5,13 @@ from compare import same
 
 from linkspan.registry import FLAGSHIP, ORACLES, QUERIES
 
-SLOW = {"gbt_train_predict", "model_select"}
-
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, small, name):
     same(spark, small, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, small, name):
     df = QUERIES[name](spark, small)
     assert df.count() >= 0 and df.columns

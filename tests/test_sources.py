@@ -32,6 +32,17 @@ def test_splits_truth_and_samples(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("source1_entity_id\tcandidate_entity_ids\nS1-a\tS2-b,S2-a\n")
     _, ranked = records.read_sample(spark, str(tmp_path / "s.tsv"), str(tmp_path / "c.tsv"))
     assert [(r.rank, r.tid) for r in ranked.orderBy("rank").collect()] == [(1, "S2-b"), (2, "S2-a")]
+    for split, n in (("development", 1), ("test", 0)):
+        rows, ranked = records.read_sample(spark, str(tmp_path / "s.tsv"), str(tmp_path / "c.tsv"), split)
+        assert (rows.count(), ranked.count()) == (n, 2 * n)
+
+
+def test_reports_and_samples_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "id string, n int")
+    records.write_report(rows.orderBy("id"), str(tmp_path / "r"))
+    records.write_sample(rows, str(tmp_path / "s"))
+    assert sorted(spark.read.json(str(tmp_path / "r")).select("id", "n").collect()) == [("a", 1), ("b", 2)]
+    assert next((tmp_path / "s").glob("*.csv")).read_text() == "id\tn\na\t1\nb\t2\n"
 
 
 def test_lists_keep_order_and_empties(spark, tmp_path):
@@ -41,6 +52,7 @@ def test_lists_keep_order_and_empties(spark, tmp_path):
     records.write_lists(lists, str(tmp_path / "out"), "matched_entity_ids")
     text = next((tmp_path / "out").glob("*.csv")).read_text()
     assert text == "source1_entity_id\tmatched_entity_ids\nS1-b\t\nS1-a\tS2-x,S2-y\n"
+    assert {r.eid: r.ids for r in records.read_lists(spark, str(tmp_path / "out")).collect()} == {"S1-b": [], "S1-a": ["S2-x", "S2-y"]}
 
 
 def test_fingerprint(spark, tmp_path):
