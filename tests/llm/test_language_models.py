@@ -1,13 +1,14 @@
-"""Cross-entropy difference with the counts of unknown bigrams handed back."""
+"""Cross-entropy difference with the counts of unknown bigrams handed back; language identification gram by gram."""
 
 import math
+import zlib
 from collections import Counter
 
 import pytest
 from edge import clashing, documents, edge_rows
 from pyspark.sql import functions as F
 
-from linkspan.llm import lm_scoring
+from linkspan.llm import language_id, lm_scoring
 from linkspan.llm.common import table
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -62,3 +63,37 @@ def test_held_out_good_documents_come_first(spark):
     scored = lm_scoring.score(table(spark, MIDDLE, "documents"), shown, hand_back=True).join(labels, "doc_id").where("quality = 0 or doc_id % 5 = 0")
     means = {r.quality: r.m for r in scored.groupBy("quality").agg(F.avg("score").alias("m")).collect()}
     assert means[1] < means[0]
+
+
+def plain_letters(text):
+    return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+
+
+def plain_grams(s):
+    return Counter(g for n in (1, 2, 3) for i in range(len(s) - n + 1) if (g := s[i : i + n]) != " ")
+
+
+def test_language_id_by_brute_force(spark):
+    """The whole query against profiles and distances worked out gram by gram."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    fitted = {}
+    for lang, text in {(r.lang, r.text) for r in docs if r.lang is not None and r.text is not None and not held[r.doc_id]}:
+        fitted.setdefault(lang, Counter()).update(plain_grams(plain_letters(text)))
+    profiles = {lang: {g: k for k, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:400])} for lang, c in sorted(fitted.items())}
+    seen = {c for count in fitted.values() for g in count for c in g}
+    place = {c: k for k, c in enumerate(sorted(seen - {" "}), 1)} | {" ": 0}
+    assert len(place) <= language_id.ALPHABET
+    got = {r.doc_id: r for r in language_id.op6_rank_order_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs:
+        s = plain_letters(r.text or "")
+        if not set(s) <= set(place):
+            continue  # letters that no profile has share one code
+        if not s.strip():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        own = sorted(plain_grams(s).items(), key=lambda x: (-x[1], len(x[0]), [place[c] for c in x[0]]))[:300]
+        d = {lang: sum(abs(p[g] - k) if g in p else 400 for k, (g, _) in enumerate(own)) for lang, p in profiles.items()}
+        first, second = sorted(d, key=lambda x: (d[x], x))[:2]
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (first, held[r.doc_id])
+        assert abs(got[r.doc_id].score - (d[second] - d[first]) / d[second]) < 1e-12
