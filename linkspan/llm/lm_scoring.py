@@ -210,6 +210,7 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
         v = _by_key(vocabulary.select("key", "t", "b"))
         known = spark.sparkContext.broadcast(np.unique(inventory.select("key").toArrow()["key"].to_numpy().view(np.uint64)))
         met = materialise(_count(flagged, all_bigrams=False, known=known).where(F.col("kind") != TOTAL))
+        known.destroy()
         i, before = (_by_key(met.where(F.col("kind") == kind).select("key", "t", "b")) for kind in (BIGRAM, BEFORE))
         place = np.searchsorted(v["key"], before["key"])  # a known bigram's words are known
         model = {"words": v["key"], "bigrams": i["key"], "p": [], "count": [], "pair": [], "rest": []}

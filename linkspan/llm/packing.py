@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from linkspan.llm.common import map_texts, materialise, table
+from linkspan.llm.common import BROADCAST_ROWS, map_texts, materialise, table
 
 SEQUENCE = 4096
 END = 2
@@ -378,7 +378,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             moved.append((r.cell, first, own))
             first += own
         to = spark.createDataFrame(moved, "cell long, first long, own long")
-        placed = placed.join(F.broadcast(to), "cell").withColumn("cell", F.col("first") + F.pmod(F.xxhash64(F.col("least")[k]), F.col("own"))).drop("first", "own")
+        placed = placed.join(F.broadcast(to) if len(moved) <= BROADCAST_ROWS else to, "cell").withColumn("cell", F.col("first") + F.pmod(F.xxhash64(F.col("least")[k]), F.col("own"))).drop("first", "own")
         counts = placed.groupBy("cell").agg(F.sum("doc_tokens").alias("n")).orderBy("cell").collect()
     # cells fill shards in turn; one still beyond a shard's size has shards of its own, dealt by a hash of the row
     own, opened, room = [], 0, 0
@@ -393,7 +393,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             own.append((r.cell, opened - 1, 1))
             room -= r.n
     where = spark.createDataFrame(own, "cell long, first long, parts long")
-    dealt = placed.join(F.broadcast(where), "cell")
+    dealt = placed.join(F.broadcast(where) if len(own) <= BROADCAST_ROWS else where, "cell")
     dealt = dealt.select("doc_id", "uid", "doc_tokens", "ids", (F.col("first") + F.pmod(F.xxhash64("uid"), F.col("parts"))).alias("shard"))
     schema = "doc_id long, uid long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
     # one partition a shard on average: what a task holds does not grow with the input
