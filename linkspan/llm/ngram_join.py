@@ -16,8 +16,10 @@ components are wanted, so no bucket is expanded into all its pairs. In each of `
 bucket that still holds several components has a lead, another one each time, and each set is held
 against one lead of another component: that with which it shares most. Then only pairs from components
 that are still different are left. They meet in the shorter prefixes (one shared shingle is enough
-there), and pass the filters inside the join, before they become rows; buckets of more than ``BLOCK``
-sets are dealt out by pairs of blocks.
+there), each pair at the least shingle that it shares, and pass the filters inside the join, before they
+become rows; buckets of more than ``BLOCK`` sets are dealt out by pairs of blocks. A ``FIRST_PART`` of the
+shingles goes first: its links leave few components in large groups of near copies, and so few pairs for
+the others.
 
 The frequent shingles are counted over all rows, within batches first; at most ``HEAVY`` of them are
 broadcast (16 bytes each). Which they are touches the speed alone: any order gives the same links.
@@ -47,7 +49,8 @@ from linkspan.llm.graph import components
 WORDS, PERCENT = 3, 90
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Rounds in which sets are held against leads, and members of a bucket from which it is dealt out by pairs of blocks.
-STARS = 2
+STARS = 1
+FIRST_PART = 8
 BLOCK = 1000
 #: Tokens that a set carries into its buckets, so that it meets another in one of them only; it meets it in all where it has more.
 CARRIED = 256
@@ -201,16 +204,20 @@ def _members(prefixes: DataFrame, percent: int) -> DataFrame:
     A set that links with one of m members shares shared_size(m) of them at least, and m is percent of its own size or more.
     """
     ceiling = F.floor((percent * F.col("n") + 99) / F.lit(100))
-    cols = ("uid", "least", "token", "core")
-    member = prefixes.select("uid", (1 + F.floor(ceiling / F.lit(10))).alias("least"), (F.col("n") - ceiling + 1).alias("short"), F.posexplode("first").alias("pos", "token"))
-    member, kept = member.select("uid", "least", "token", (F.col("pos") < F.col("short")).alias("core")), []
+    # token and core in one number: rows are short, and so are the lists of them
+    token = F.shiftright("packed", 1)
+    packed = F.shiftleft("token", 1) + (F.col("pos") < F.col("n") - ceiling + 1).cast("long")
+    member = prefixes.select("uid", "n", (1 + F.floor(ceiling / F.lit(10))).cast("int").alias("least"), F.posexplode("first").alias("pos", "token")).select("uid", "least", packed.alias("packed"))
+    kept = None
     for _ in range(2):  # sets that went leave others with too few
-        shared = member.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
-        held = member.join(shared, "token").groupBy("uid").agg(F.first("least").alias("least"), F.collect_list(F.struct("token", "core")).alias("held"))  # a set's own prefix at most
-        kept.append(materialise(held.where(F.size("held") >= F.col("least"))))
-        member = kept[-1].select("uid", "least", F.explode("held").alias("x")).select("uid", "least", "x.*").select(*cols)
-    out = materialise(member.select("token", "uid", "core"))
-    discard(*kept)
+        shared = member.groupBy(token.alias("token")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+        held = member.join(shared, token == F.col("token")).groupBy("uid").agg(F.first("least").alias("least"), F.collect_list("packed").alias("held"))  # a set's own prefix at most
+        old, kept = kept, materialise(held.where(F.size("held") >= F.col("least")))
+        member = kept.select("uid", "least", F.explode("held").alias("packed"))
+        if old is not None:
+            discard(old)
+    out = materialise(member.select(token.alias("token"), "uid", (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("core")))
+    discard(kept)
     return out
 
 
@@ -232,8 +239,8 @@ def _stars(placed: DataFrame, n: int) -> DataFrame:
     return shares.groupBy("uid").agg(best).select((-F.col("best.m")).alias("a"), F.col("uid").alias("b"))
 
 
-def _rest(placed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a token, and that sizes and sketches allow. A large bucket's pairs are dealt out by pairs of blocks, each pair to one."""
+def _rest(placed: DataFrame, marks: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Pairs (a, b) of different components that meet at a token of the first part, or of the others, and that sizes and sketches allow. A large bucket's pairs are dealt out by pairs of blocks, each pair to one."""
     core = placed.where("core").select("token", "uid", "component")
     blocks = core.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token", F.ceil(F.col("members") / BLOCK).alias("blocks"))
     own = core.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
@@ -241,7 +248,8 @@ def _rest(placed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select("token", "uid", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     # two sets that share several tokens meet at the least of them only, where both have few enough to carry
     tokens = core.groupBy("uid").agg(F.collect_list("token").alias("tokens")).select("uid", F.when(F.size("tokens") <= CARRIED, F.col("tokens")).alias("tokens"))
-    dealt = materialise(dealt.join(marks, "uid").join(tokens, "uid"))
+    part = F.pmod(F.xxhash64("token", F.lit(5)), F.lit(FIRST_PART)) == 0
+    dealt = materialise(dealt.where(part if first else ~part).join(marks, "uid").join(tokens, "uid"))
     a, b = dealt.alias("a"), dealt.alias("b")
     least = F.coalesce(F.array_min(F.array_intersect("a.tokens", "b.tokens")) == F.col("a.token"), F.lit(True))
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
@@ -303,9 +311,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     marks = traits.select("uid", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)))
 
     links, label = [], None
-    for n in range(STARS + 1):
+    rounds = [lambda rows, n=n: _stars(rows, n) for n in range(STARS)] + [lambda rows, part=part: _rest(rows, marks, percent, part) for part in (True, False)]
+    for pairs in rounds:
         placed = materialise(_mixed(member, label))
-        found = _verified(_stars(placed, n) if n < STARS else _rest(placed, marks, percent), traits, percent)
+        found = _verified(pairs(placed), traits, percent)
         discard(placed)
         if label is None or not found.isEmpty():
             links.append(found)
