@@ -29,14 +29,16 @@ def brute(rows, percent=90, width=3):
     return sorted(((r[0], len(s), min((x for x in groups[root(i)] if x is not None), default=None) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
-def same(spark, rows):
-    for percent, width in ((90, 3), (80, 5)):
+def same(spark, rows, rules=((90, 3), (80, 5))):
+    for percent, width in rules:
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(documents(spark, rows), percent=percent, width=width).collect()), key=repr)
         assert got == brute([r[:2] for r in rows], percent, width)
 
 
 def test_edges(spark):
     same(spark, [r for r in edge_rows()])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(clashing(documents(spark, edge_rows()))).collect()), key=repr)
+    assert got == brute([r[:2] for r in edge_rows()])
 
 
 def test_chains_and_near_copies(spark):
@@ -57,7 +59,7 @@ def test_chains_and_near_copies(spark):
 def test_near_copies_of_one_text(spark, monkeypatch):
     """A large group in which few pairs link directly: leads alone do not join it, and its buckets are dealt out by blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
-    monkeypatch.setattr(ngram_join, "STARS", 1)
+    monkeypatch.setattr(ngram_join, "FIRST_PART", 3)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -98,7 +100,7 @@ def test_a_common_passage_does_not_link(spark):
     rng = random.Random(4)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(rng.randint(1, 60)))) for i in range(200)]
-    same(spark, rows)
+    same(spark, rows, [(90, 3)])
 
 
 def test_sizes_at_the_threshold(spark):
