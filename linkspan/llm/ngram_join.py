@@ -17,9 +17,12 @@ bucket that still holds several components has a lead, another one each time, an
 against one lead of another component: that with which it shares most. Then only pairs from components
 that are still different are left. They meet in the shorter prefixes (one shared shingle is enough
 there), each pair at the least shingle that it shares, and pass the filters inside the join, before they
-become rows; buckets of more than ``BLOCK`` sets are dealt out by pairs of blocks. A ``FIRST_PART`` of the
-shingles goes first: its links leave few components in large groups of near copies, and so few pairs for
-the others.
+become rows. A bucket is first dealt into chance groups of about ``FIRST_PART`` sets, all pairs of a group
+meet, and what links is one component; then into groups ``WIDER`` times as large, and so on. Whatever
+part of a large group of near copies links, each round makes but a few rows a set: once groups are large
+enough for a set to find some links, most sets are in one component, and their pairs are no longer made. A bucket
+that is one group is done, most of them in the first round; one of more than ``BLOCK`` sets is dealt out by pairs of
+blocks in the end, and there only sets outside its largest component look for others.
 
 The frequent shingles are counted over all rows, within batches first; at most ``HEAVY`` of them are
 broadcast (16 bytes each). Which they are touches the speed alone: any order gives the same links.
@@ -48,12 +51,14 @@ from linkspan.llm.graph import components
 #: Words of a shingle, and the similarity from which sets link: of the query, and of near duplicates.
 WORDS, PERCENT = 3, 90
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: Rounds in which sets are held against leads, and members of a bucket from which it is dealt out by pairs of blocks.
+#: Rounds in which sets are held against leads; members of the first groups of a bucket, and how many times as large the next are; members from which a bucket is dealt out by pairs of blocks.
 STARS = 1
-FIRST_PART = 8
+FIRST_PART = 16
+WIDER = 8
 BLOCK = 1000
-#: Tokens that a set carries into its buckets, so that it meets another in one of them only; it meets it in all where it has more.
+#: Tokens that a set carries into its buckets, so that it meets another in one of them only. One that has more carries the least FEW of them, and meets in all buckets only those sets that carry none of these.
 CARRIED = 256
+FEW = 32
 #: The most frequent shingles that the orders know, and the count in a batch of rows from which a shingle is counted.
 HEAVY = 200_000
 BATCH_COUNT = 3
@@ -239,25 +244,35 @@ def _stars(placed: DataFrame, n: int) -> DataFrame:
     return shares.groupBy("uid").agg(best).select((-F.col("best.m")).alias("a"), F.col("uid").alias("b"))
 
 
-def _rest(placed: DataFrame, marks: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Pairs (a, b) of different components that meet at a token of the first part, or of the others, and that sizes and sketches allow. A large bucket's pairs are dealt out by pairs of blocks, each pair to one."""
-    core = placed.where("core").select("token", "uid", "component")
-    blocks = core.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    own = core.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "uid", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    # two sets that share several tokens meet at the least of them only, where both have few enough to carry
-    tokens = core.groupBy("uid").agg(F.collect_list("token").alias("tokens")).select("uid", F.when(F.size("tokens") <= CARRIED, F.col("tokens")).alias("tokens"))
-    part = F.pmod(F.xxhash64("token", F.lit(5)), F.lit(FIRST_PART)) == 0
-    dealt = materialise(dealt.where(part if first else ~part).join(marks, "uid").join(tokens, "uid"))
-    a, b = dealt.alias("a"), dealt.alias("b")
+def _meeting(a: DataFrame, b: DataFrame, keys: tuple[str, ...], percent: int, once: Column) -> DataFrame:
+    """Pairs (a, b) of rows with the same keys for which `once` holds, and that sizes and sketches allow. Two sets that share several tokens meet at the least of them only: a token that both carry is preceded by no shared one that either does not carry."""
+    a, b = a.alias("a"), b.alias("b")
     least = F.coalesce(F.array_min(F.array_intersect("a.tokens", "b.tokens")) == F.col("a.token"), F.lit(True))
-    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
-    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.lo") == F.col("a.hi"))
-    pairs = a.join(b, same & once & (F.col("a.component") < F.col("b.component")) & F.when(_may_link("a", "b", percent), least).otherwise(False))
+    same = reduce(Column.__and__, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
+    pairs = a.join(b, same & once & F.when(_may_link("a", "b", percent), least).otherwise(False))
     return pairs.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct()
 
 
+def _groups(placed: DataFrame, cards: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that meet in a chance group of about `size` members of a bucket (all of it, if it has no more), and a table that is to be discarded after them."""
+    group = F.pmod(F.xxhash64("uid", F.lit(size)), F.ceil(F.col("members") / size))
+    dealt = materialise(placed.select("token", "uid", "component", group.alias("group")).join(cards, "uid"))
+    return _meeting(dealt, dealt, ("token", "group"), percent, F.col("a.component") < F.col("b.component")), dealt
+
+
+def _blocks(placed: DataFrame, cards: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b) of different components that meet in a bucket, and a table that is to be discarded after them. A bucket's pairs are dealt out by pairs of blocks, each pair to one; of two sets one is outside the bucket's largest component."""
+    largest = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "component")).alias("x")).select("token", F.col("x.component").alias("largest"))
+    blocks = F.ceil(F.col("members") / BLOCK)
+    own = placed.join(largest, "token").select("token", "uid", "component", (F.col("component") != F.col("largest")).alias("outside"), blocks.alias("blocks"), F.pmod(F.xxhash64("uid"), blocks).alias("block"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("token", "uid", "component", "outside", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = materialise(dealt.join(cards, "uid"))
+    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.lo") == F.col("a.hi"))
+    once &= (F.col("a.component") < F.col("b.component")) | ((F.col("a.component") != F.col("b.component")) & ~F.col("b.outside"))
+    return _meeting(dealt.where("outside"), dealt, ("token", "lo", "hi"), percent, once), dealt
+
+
 def _verified(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link: sizes and sketches allow it, they share prefix shingles under the second and the third order, and enough of all."""
     x, y = (traits.select(F.col("uid").alias(c), F.struct("n", "second", "third", "s", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH))).alias(v)) for c, v in (("a", "x"), ("b", "y")))
@@ -311,16 +326,38 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     marks = traits.select("uid", "n", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)))
 
     links, label = [], None
-    rounds = [lambda rows, n=n: _stars(rows, n) for n in range(STARS)] + [lambda rows, part=part: _rest(rows, marks, percent, part) for part in (True, False)]
-    for pairs in rounds:
+
+    def linked(placed: DataFrame, pairs: DataFrame, *gone: DataFrame) -> DataFrame:
+        """The components after the links among pairs."""
+        found = _verified(pairs, traits, percent)
+        discard(placed, *gone)
+        if label is not None and found.isEmpty():
+            return label
+        links.append(found)
+        new = components(reduce(DataFrame.unionByName, links))
+        if label is not None:
+            discard(label)
+        return new
+
+    for n in range(STARS):
         placed = materialise(_mixed(member, label))
-        found = _verified(pairs(placed), traits, percent)
-        discard(placed)
-        if label is None or not found.isEmpty():
-            links.append(found)
-            old, label = label, components(reduce(DataFrame.unionByName, links))
-            if old is not None:
-                discard(old)
+        label = linked(placed, _stars(placed, n))
+    core = member.where("core").select("token", "uid")
+    tokens = core.groupBy("uid").agg(F.collect_list("token").alias("tokens"))
+    tokens = tokens.select("uid", F.when(F.size("tokens") <= CARRIED, F.col("tokens")).otherwise(F.slice(F.array_sort("tokens"), 1, FEW)).alias("tokens"))
+    cards = materialise(marks.join(tokens, "uid"))
+    open_ = materialise(core.join(core.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "token"))
+    size = 0
+    while size < BLOCK and not open_.isEmpty():
+        size = min(BLOCK, size * WIDER or FIRST_PART)
+        placed = materialise(_mixed(open_, label))
+        label = linked(placed, *_groups(placed, cards, percent, size))
+        old, open_ = open_, materialise(open_.where(F.col("members") > size))
+        discard(old)
+    if not open_.isEmpty():
+        placed = materialise(_mixed(open_, label))
+        label = linked(placed, *_blocks(placed, cards, percent))
+    discard(open_, cards)
 
     of = classes.join(label.withColumnRenamed("v", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
