@@ -56,26 +56,17 @@ UNIT = 4096
 #: A term that a document in DENSE holds has a dense row; rows take 4 bytes a document, so all take 4 x DENSE bytes a posting at most.
 DENSE = 4
 #: Chunks and pieces that a Python worker keeps, from task to task (about 200 bytes each); the half that is used most outlives a clearing.
-CACHED = 500_000
+CACHED = 800_000
 #: Texts whose chunks are looked up together.
 TEXTS = 1000
 #: Characters of which it is sure where the tokenizer parts them: ASCII, accented Latin letters and general punctuation.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*")
 #: Fixed value: the pattern of tokenizers that the cache serves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The tokenizer's own pieces of a lower-cased chunk of such characters.
+#: The tokenizer's own pieces of a lower-cased chunk of such characters; words, and words before one mark, are told without a search.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
-def pieces_of(low: str) -> tuple | list:
-    """The same as PIECES.findall; words, and words before one mark, are told without a search."""
-    if low.isalpha():
-        return (low,)
-    if low[-1] in ".,;:!?" and low[:-1].isalpha():
-        return (low[:-1], low[-1])
-    return PIECES.findall(low)
-
-
 class Chunks:
     """Chunks of text, and pieces of chunks, to their ids: each has a place in one array of ids.
 
@@ -145,25 +136,34 @@ class Chunks:
             self._clear()
         known = self.known
         found = list(map(known.get, chunks))
-        new = {c for c, k in zip(chunks, found, strict=True) if k is None}
-        if new:
+        gaps = [i for i, k in enumerate(found) if k is None]
+        if gaps:
+            new = [chunks[i] for i in gaps]
             # flat lists: many small ones would be searched for cycles again and again
             whole, split, parts, counts = [], [], [], []
-            for c in new:
-                low = c.lower()
-                if low == c and c.isalpha():
-                    whole.append(c)  # a piece itself
+            for c, low in zip(new, "\n".join(new).lower().split("\n"), strict=True):  # all lowered at once: a chunk has no line feed
+                if low.isalpha():
+                    if low == c:
+                        whole.append(c)  # a piece itself
+                        continue
+                    parts.append(low)
+                    counts.append(1)
+                elif low[-1] in ".,;:!?" and (head := low[:-1]).isalpha():
+                    parts.append(head)
+                    parts.append(low[-1])
+                    counts.append(2)
                 else:
-                    p = pieces_of(low)
+                    p = PIECES.findall(low)
                     parts += p
                     counts.append(len(p))
-                    split.append(c)
+                split.append(c)
             self._encode_pieces(list({*whole, *parts}.difference(known)))
             if split:
                 ids, sizes = self.gather(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
                 own = np.array(counts)
                 self._add(split, np.add.reduceat(sizes, np.cumsum(own) - own), ids)
-            found = list(map(known.__getitem__, chunks))
+            for i, c in zip(gaps, new, strict=True):
+                found[i] = known[c]
         out = np.array(found, np.int64)
         self.uses[out] += 1
         return out

@@ -146,6 +146,28 @@ def test_cache_gives_the_tokenizers_ids(monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
 
 
+def test_known_chunks_are_looked_up_once():
+    """A new chunk among known ones does not make those be looked up again."""
+    looked = []
+
+    class Counted(dict):
+        def get(self, key):
+            looked.append(key)
+            return super().get(key)
+
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    chunks = packing.Chunks(Tokenizer.from_file(PATH), np.dtype("<u2"))
+    words = [f"Word{chr(97 + i % 26)}{chr(97 + i // 26)}." for i in range(300)]
+    chunks.numbers(words)
+    chunks.known = Counted(chunks.known)
+    got = chunks.gather(chunks.numbers([*words, "quite-NEW"]))[0].tolist()
+    assert got == truth([" ".join([*words, "quite-NEW"])])[0][:-1]
+    assert looked.count(words[0]) == 1 and len(looked) < 2 * len(words)
+
+
 def test_empty(spark):
     assert packing.pack(documents(spark, []), PATH).count() == 0 and sharding.shard(documents(spark, [])).count() == 0
 
