@@ -59,6 +59,8 @@ BLOCK = 1000
 #: Tokens that a set carries into its buckets, so that it meets another in one of them only. One that has more carries the least FEW of them, and meets in all buckets only those sets that carry none of these.
 CARRIED = 256
 FEW = 32
+#: Parts, by token, in which it is found which prefix shingles sets share: the shuffle files of one part are on disk at a time.
+TOKEN_PARTS = 4
 #: The most frequent shingles that the orders know, and the count in a batch of rows from which a shingle is counted.
 HEAVY = 200_000
 BATCH_COUNT = 3
@@ -214,13 +216,16 @@ def _members(prefixes: DataFrame, percent: int) -> DataFrame:
     packed = F.shiftleft("token", 1) + (F.col("pos") < F.col("n") - ceiling + 1).cast("long")
     member = prefixes.select("uid", "n", (1 + F.floor(ceiling / F.lit(10))).cast("int").alias("least"), F.posexplode("first").alias("pos", "token")).select("uid", "least", packed.alias("packed"))
     kept = None
-    for _ in range(2):  # sets that went leave others with too few
-        shared = member.groupBy(token.alias("token")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
-        held = member.join(shared, token == F.col("token")).groupBy("uid").agg(F.first("least").alias("least"), F.collect_list("packed").alias("held"))  # a set's own prefix at most
+    for parts in (TOKEN_PARTS, 1):  # sets that went leave others with too few
+        met = []
+        for k in range(parts):
+            part = member.where(F.pmod(token, F.lit(parts)) == k)
+            shared = part.groupBy(token.alias("token")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+            met.append(materialise(part.join(shared, token == F.col("token")).select("uid", "least", "packed")))
+        held = reduce(DataFrame.unionByName, met).groupBy("uid").agg(F.first("least").alias("least"), F.collect_list("packed").alias("held"))  # a set's own prefix at most
         old, kept = kept, materialise(held.where(F.size("held") >= F.col("least")))
         member = kept.select("uid", "least", F.explode("held").alias("packed"))
-        if old is not None:
-            discard(old)
+        discard(*met, *([] if old is None else [old]))
     out = materialise(member.select(token.alias("token"), "uid", (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("core")))
     discard(kept)
     return out
@@ -275,6 +280,7 @@ def _blocks(placed: DataFrame, cards: DataFrame, percent: int) -> tuple[DataFram
 
 def _verified(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link: sizes and sketches allow it, they share prefix shingles under the second and the third order, and enough of all."""
+    traits = pick(traits, pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "uid", "left_semi")
     x, y = (traits.select(F.col("uid").alias(c), F.struct("n", "second", "third", "s", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH))).alias(v)) for c, v in (("a", "x"), ("b", "y")))
     both = pairs.join(x, "a").join(y, "b")
     filters = _may_link("x", "y", percent) & F.arrays_overlap("x.second", "y.second") & F.arrays_overlap("x.third", "y.third")
@@ -307,8 +313,12 @@ def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs, with its row number `uid`; sets of `width` words' shingles link at `percent`."""
-    spark = docs.sparkSession
-    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "uid")
+    return _link(numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "uid"), percent, width)
+
+
+def _link(rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """What link() returns, of numbered rows (doc_id, text, uid)."""
+    spark = rows.sparkSession
     first = materialise(map_texts(rows, "text", ("doc_id", "uid"), _first_pass(width), "n long, digest binary, heavy array<bigint>, heavy_n array<bigint>"))
     every = first.select("doc_id", "uid", "n", "digest")
     heavy = spark.sparkContext.broadcast(_heavy(first))
@@ -329,8 +339,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     def linked(placed: DataFrame, pairs: DataFrame, *gone: DataFrame) -> DataFrame:
         """The components after the links among pairs."""
-        found = _verified(pairs, traits, percent)
+        pairs = materialise(pairs)
         discard(placed, *gone)
+        found = _verified(pairs, traits, percent)
+        discard(pairs)
         if label is not None and found.isEmpty():
             return label
         links.append(found)
@@ -372,7 +384,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each group left: that with the smallest id (null last), and the first row of these. Rows without words are groups of their own."""
     uid = free_name(docs, "row_uid")
     fixed = numbered(docs, uid)
-    linked = link(fixed.select(F.col(uid).alias("id_"), F.col(text_col).alias("text_")), "id_", "text_", percent, width).select(F.col("doc_id").alias(uid), "component_id")
+    linked = _link(fixed.select(F.col(uid).alias("doc_id"), F.col(text_col).alias("text"), F.col(uid).alias("uid")), percent, width).select(F.col("doc_id").alias(uid), "component_id")
     ids = fixed.select(uid, F.col(id_col).alias("id_")).join(linked, uid)
     ranked = F.struct(F.col("id_").isNull().alias("none"), "id_", uid)
     first = ids.groupBy("component_id").agg(F.min(ranked).alias("x")).select(F.col(f"x.{uid}").alias(uid))
