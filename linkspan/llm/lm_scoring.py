@@ -15,9 +15,13 @@ it (``hand_back`` false) the larger corpus loses most, and texts unlike the targ
 the target's loss minus the background's: the lower, the closer to the target.
 
 The vocabulary grows with the corpus. Up to ``BROADCAST_GRAMS`` words and bigrams (24 bytes each)
-are broadcast, so texts are scored where they are read; beyond, each text's bigrams are shuffled to
-the counts. Both ways give the same scores. Words are told apart by 64-bit hashes of their bytes,
-A-Z lower-cased.
+are broadcast, so texts are scored where they are read. Beyond, a loss is taken apart: p(w|v) of an
+unknown bigram is a factor of v times p(w), so a text's loss is that of as many unknown words, and
+an effect of each known word, as itself and as the word before, and of each known bigram. The effects
+of the most frequent are broadcast; only occurrences of the rare ones, which bitmaps tell from unknown
+ones (but for some, which then find nothing), are shuffled to their effects, in ``RARE_PARTS`` parts of
+the rows. Both ways give the same scores, up to rounding. Words are told apart by 64-bit hashes of their
+bytes, A-Z lower-cased; words and bigrams share one space of hashes.
 
 Defined cases: a null text, or one without words, has n_tokens 0 and null losses and score; without
 a target row every word is unknown and the models differ by their totals alone; null ids and
@@ -28,13 +32,14 @@ all rows; further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import map_texts, materialise, numbered, small_batches, table
+from linkspan.llm.common import discard, map_texts, materialise, numbered, small_batches, table
 from linkspan.llm.ngram_join import MULTIPLIERS, WordHashes, mixed
 
 MIN_WORD = 2
@@ -42,6 +47,10 @@ MIN_BIGRAM = 3
 PRIOR = 5.0
 BROADCAST_GRAMS = 4_000_000
 BROADCAST_IDS = 2_000_000
+#: Beyond BROADCAST_GRAMS: the part of these that is broadcast as frequent, bits of a bitmap for each key and at most (as powers of two; at most 64 MB), and parts of the rows.
+FREQUENT = 4
+KEY_BITS, MOST_BITS = 3, 29
+RARE_PARTS = 4
 #: Counts that a task gathers before it hands them on.
 PENDING = 2_000_000
 TOTAL, WORD, BIGRAM, BEFORE = 0, 1, 2, 3
@@ -88,7 +97,7 @@ def _out(kind: int, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["kind", "key", "t", "b"])
 
 
-def _count(rows: DataFrame, all_bigrams: bool, known=None) -> DataFrame:
+def _count(rows: DataFrame, known=None) -> DataFrame:
     """kind, key and the counts t (target) and b (all rows), from rows (text, good); of the known bigrams only, where these are given, and then of the words before them too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,20 +108,18 @@ def _count(rows: DataFrame, all_bigrams: bool, known=None) -> DataFrame:
             good = batch.column("good").to_pylist()
             texts = [words(t, hashes) for t in batch.column("text").to_pylist()]
             found = []
-            if known is None and not all_bigrams:
+            if known is None:
                 found.append((WORD, *_counted(texts, good)))
                 found.append((BIGRAM, *_counted([bigrams(h) for h, g in zip(texts, good, strict=True) if g], [True] * sum(good))))
                 total += [sum(len(h) for h, g in zip(texts, good, strict=True) if g), sum(map(len, texts))]
             else:
                 own, n = _counted([bigrams(h) for h in texts], good)
-                if known is not None:
-                    at = np.minimum(np.searchsorted(known.value, own), max(len(known.value) - 1, 0))
-                    hit = known.value[at] == own if len(known.value) else np.zeros(len(own), bool)
-                    own, n = own[hit], n[hit]
-                    every, before = np.concatenate([bigrams(h) for h in texts]), np.concatenate([h[:-1] for h in texts])
-                    seen, place = np.unique(every, return_index=True)
-                    found.append((BEFORE, before[place[np.searchsorted(seen, own)]], n))
-                found.append((BIGRAM, own, n))
+                at = np.minimum(np.searchsorted(known.value, own), max(len(known.value) - 1, 0))
+                hit = known.value[at] == own if len(known.value) else np.zeros(len(own), bool)
+                own, n = own[hit], n[hit]
+                every, before = np.concatenate([bigrams(h) for h in texts]), np.concatenate([h[:-1] for h in texts])
+                seen, place = np.unique(every, return_index=True)
+                found += [(BEFORE, before[place[np.searchsorted(seen, own)]], n), (BIGRAM, own, n)]
             for kind, own, n in found:
                 if tallies[kind].add(own, n):
                     yield _out(kind, *tallies[kind].take())
@@ -174,21 +181,154 @@ def _score_here(model):
     return per_batch
 
 
-def _pairs():
-    """Each text's (word before, word, bigram, times); the first word has no word before."""
-    hashes = WordHashes()
+def _sieve(keys: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the first bits of n keys, made where the keys are; it may hold keys that are none of them."""
+    bits = min(MOST_BITS, max(15, int(n).bit_length() + KEY_BITS))
+    place = F.shiftrightunsigned("key", 64 - bits)
+    told = keys.select(F.shiftright(place, 15).alias("page"), place.bitwiseAND(F.lit(32767)).alias("bit")).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    out = np.zeros((1 << bits - 15, 4096), np.uint8)
+    for batch in told.toArrow().to_batches():
+        for page, bitmap in zip(batch["page"].to_pylist(), batch["bitmap"].to_pylist(), strict=True):
+            out[page] = np.frombuffer(bitmap, np.uint8)
+    return out.reshape(-1)
 
-    def one(text: str | None) -> list[dict]:
-        h = words(text, hashes)
-        if not len(h):
-            return []
-        out = [{"v": None, "w": int(h[:1].view(np.int64)[0]), "vw": None, "n": 1}]
-        if len(h) > 1:
-            own, first, n = np.unique(bigrams(h), return_index=True, return_counts=True)
-            out += [{"v": int(v), "w": int(w), "vw": int(k), "n": int(c)} for v, w, k, c in zip(h.view(np.int64)[first], h.view(np.int64)[first + 1], own.view(np.int64), n, strict=True)]
-        return out
 
-    return lambda texts: {"pairs": [one(t) for t in texts]}
+def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (8 * len(sieve)).bit_length() + 1)
+    return (sieve[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _count_passing(rows: DataFrame, sieve) -> DataFrame:
+    """key, v, w and the counts t and b of the bigrams that pass the sieve, from rows (text, good)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        found: list[tuple] = []
+
+        def merged() -> pa.RecordBatch:
+            key, v, w, t, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            own, first, at = np.unique(key, return_index=True, return_inverse=True)
+            sums = [np.bincount(at, weights=x, minlength=len(own)).astype(np.int64) for x in (t, b)]
+            found.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (own, v[first], w[first])), *map(pa.array, sums)], names=["key", "v", "w", "t", "b"])
+
+        for batch in batches:
+            texts = [words(x, hashes) for x in batch.column("text").to_pylist()]
+            if texts:
+                key, v, w = (np.concatenate([f(h) for h in texts]) for f in (bigrams, lambda h: h[:-1], lambda h: h[1:]))
+                flag = np.repeat(np.array(batch.column("good").to_pylist(), bool), [max(len(h) - 1, 0) for h in texts])
+                hit = _passes(sieve.value, key)
+                own, first, at, n = np.unique(key[hit], return_index=True, return_inverse=True, return_counts=True)
+                found.append((own, v[hit][first], w[hit][first], np.bincount(at[flag[hit]], minlength=len(own)), n))
+                if sum(len(x[0]) for x in found) > PENDING:
+                    yield merged()
+        if found:
+            yield merged()
+
+    small_batches(rows.sparkSession)
+    counts = rows.select("text", "good").mapInArrow(run, "key long, v long, w long, t long, b long")
+    return counts.groupBy("key").agg(F.min("v").alias("v"), F.min("w").alias("w"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _base_losses(model):
+    """Sums of texts' losses by the effects at hand, and the occurrences of what may be rare: keys, and how often each is there (words: as themselves) and is the word before."""
+
+    def per_batch():
+        m = model.value
+        hashes = WordHashes()
+        size = len(m["keys"])
+        near = np.zeros(1 << 22, bool)
+        near[(m["keys"] >> np.uint64(42)).astype(np.int64)] = True
+
+        def place_of(keys: np.ndarray) -> np.ndarray:
+            """Where the effects of keys are, the last place if they are not at hand."""
+            out = np.full(len(keys), size)
+            hit = np.flatnonzero(near[(keys >> np.uint64(42)).astype(np.int64)])
+            if size:
+                at = np.minimum(np.searchsorted(m["keys"], keys[hit]), size - 1)
+                out[hit] = np.where(m["keys"][at] == keys[hit], at, size)
+            return out
+
+        def run(texts: list) -> dict[str, list]:
+            lines = [words(t, hashes) for t in texts]
+            sizes = np.array([len(x) for x in lines], np.int64)
+            h = np.concatenate(lines) if lines else np.zeros(0, np.uint64)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            inner = np.flatnonzero(text[:-1] == text[1:])  # words that are before another
+            every = np.concatenate([h, bigrams(h)[inner]])
+            of = np.concatenate([text, text[inner]])
+            some, again = np.unique(h, return_inverse=True)
+            at = np.concatenate([place_of(some)[again], place_of(every[len(h) :])])
+            rare = np.flatnonzero((at == size) & np.concatenate([_passes(m["sieve"], some)[again], _passes(m["sieve"], every[len(h) :])]))
+            out = {"n_tokens": sizes.tolist()}
+            for k, name in enumerate(("target_sum", "background_sum")):
+                loss = np.bincount(of, weights=m["own"][k][at], minlength=len(sizes)) + np.bincount(text[inner], weights=m["before"][k][at[inner]], minlength=len(sizes))
+                out[name] = (loss + sizes * m["unknown"][k] + np.maximum(sizes - 1, 0) * m["unknown_before"][k]).tolist()
+            own, back = np.unique(every[rare], return_inverse=True)
+            before = np.zeros(len(every), bool)
+            before[inner] = True
+            place, as_it, n = np.unique(of[rare] * max(len(own), 1) + back, return_inverse=True, return_counts=True)
+            cuts = np.searchsorted(place, np.arange(1, len(sizes)) * max(len(own), 1))
+            parts = {"keys": own.view(np.int64)[place % max(len(own), 1)], "n": n.astype(np.int32), "n_before": np.bincount(as_it, weights=before[rare], minlength=len(place)).astype(np.int32)}
+            return out | {name: np.split(x, cuts) if len(sizes) else [] for name, x in parts.items()}
+
+        return run
+
+    return per_batch
+
+
+def _score_beyond(rows: DataFrame, flagged: DataFrame, vocabulary: DataFrame, inventory: DataFrame, size: int, grams: int, total: list[int], unknown: list[int], frequent: int, hand_back: bool) -> DataFrame:
+    """doc_id, n_tokens and both losses by a model that is too large to broadcast."""
+    spark = rows.sparkSession
+    sieve = spark.sparkContext.broadcast(_sieve(inventory, grams))
+    known = materialise(_count_passing(flagged, sieve).join(inventory.select("key"), "key", "left_semi"))
+    sieve.destroy()
+    taken = known.groupBy("v").agg(F.sum("t").alias("taken_t"), F.sum("b").alias("taken_b"))
+    each = vocabulary.join(taken, F.col("key") == F.col("v"), "left")
+
+    def parts(k: int, name: str) -> list[Column]:
+        """p(w), and what p(w|v) is beside it for unknown bigrams, times c(v) + beta."""
+        rest = F.col(name) - F.coalesce(f"taken_{name}", F.lit(0)) if hand_back else F.lit(0)
+        return [((F.col(name) + 1) / F.lit(float(total[k] + size + 1))).alias(f"p_{name}"), (PRIOR + rest).cast("double").alias(f"r_{name}")]
+
+    each = materialise(each.select("key", "t", "b", *(c for k, name in enumerate("tb") for c in parts(k, name))))
+    p_unknown = [(unknown[k] + 1) / (total[k] + size + 1) for k in (0, 1)]
+    lost = [float(-np.log(p)) for p in p_unknown]
+    lost_before = [float(-np.log((PRIOR + (c if hand_back else 0)) / (c + PRIOR))) for c in unknown]
+    of_words = [-F.log(F.col(f"p_{name}")) - lost[k] for k, name in enumerate("tb")] + [-F.log(F.col(f"r_{name}") / (F.col(name) + PRIOR)) - lost_before[k] for k, name in enumerate("tb")]
+    names = ("own_t", "own_b", "before_t", "before_b")
+    word_effects = each.select("key", "b", *(c.alias(x) for c, x in zip(of_words, names, strict=True)))
+    v, w = each.select(F.col("key").alias("v"), "r_t", "r_b"), each.select(F.col("key").alias("w"), "p_t", "p_b")
+    of_grams = [-F.log1p(F.col(name) / (F.col(f"r_{name}") * F.col(f"p_{name}"))) for name in "tb"] + [F.lit(0.0)] * 2
+    effects = materialise(word_effects.unionByName(known.join(v, "v").join(w, "w").select("key", "b", *(c.alias(x) for c, x in zip(of_grams, names, strict=True)))))
+    discard(known, each)
+
+    step = F.floor(4 * F.log2("b"))
+    held, least, last = 0, None, 0
+    for r in effects.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        last += r["count"]
+        if held == last - r["count"] and last <= frequent:
+            held, least = last, r.step
+    top = effects.where(step >= least if least is not None else F.lit(False)).toArrow()
+    rare = effects.where(step < least if least is not None else F.lit(True)).select("key", *names)
+    key = top["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    model = {"keys": key[order], "sieve": _sieve(rare, last - held), "unknown": lost, "unknown_before": lost_before}
+    model |= {x: [np.append(top[f"{x}_{name}"].to_numpy()[order], 0.0) for name in "tb"] for x in ("own", "before")}
+    shared = spark.sparkContext.broadcast(model)
+    schema = "n_tokens long, target_sum double, background_sum double, keys array<bigint>, n array<int>, n_before array<int>"
+    scored = materialise(map_texts(rows, "text", ("doc_id", "uid"), _base_losses(shared), schema))
+    shared.destroy()
+    found = []
+    for k in range(RARE_PARTS):
+        part = scored.where(F.pmod(F.xxhash64("uid"), F.lit(RARE_PARTS)) == k).select("uid", F.explode(F.arrays_zip("keys", "n", "n_before")).alias("x"))
+        part = part.select("uid", F.col("x.keys").alias("key"), "x.n", "x.n_before").join(rare, "key")
+        more = (F.sum(F.col("n") * F.col(f"own_{x}") + F.col("n_before") * F.col(f"before_{x}")).alias(f"more_{x}") for x in "tb")
+        found.append(materialise(part.groupBy("uid").agg(*more)))
+    discard(effects)
+    out = scored.select("doc_id", "uid", "n_tokens", "target_sum", "background_sum").join(reduce(DataFrame.unionByName, found), "uid", "left")
+    mean = lambda whole, x: F.when(F.col("n_tokens") > 0, (F.col(whole) + F.coalesce(f"more_{x}", F.lit(0.0))) / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", mean("target_sum", "t").alias("target_loss"), mean("background_sum", "b").alias("background_loss"))
 
 
 def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_grams: int = BROADCAST_GRAMS, hand_back: bool = False) -> DataFrame:
@@ -198,7 +338,7 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
     side = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "uid")
     flagged = rows.join(side, rows["doc_id"] == F.col("good_id"), "left").select("doc_id", "uid", "text", F.col("good_id").isNotNull().alias("good"))
-    counts = _count(flagged, all_bigrams=False)
+    counts = _count(flagged)
     kept = materialise(counts.where((F.col("kind") == TOTAL) | ((F.col("kind") == WORD) & (F.col("t") >= MIN_WORD)) | ((F.col("kind") == BIGRAM) & (F.col("t") >= MIN_BIGRAM))))
     vocabulary = kept.where(F.col("kind") == WORD)
     inventory = kept.where(F.col("kind") == BIGRAM)
@@ -209,7 +349,7 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
     if here:
         v = _by_key(vocabulary.select("key", "t", "b"))
         known = spark.sparkContext.broadcast(np.unique(inventory.select("key").toArrow()["key"].to_numpy().view(np.uint64)))
-        met = materialise(_count(flagged, all_bigrams=False, known=known).where(F.col("kind") != TOTAL))
+        met = materialise(_count(flagged, known).where(F.col("kind") != TOTAL))
         known.destroy()
         i, before = (_by_key(met.where(F.col("kind") == kind).select("key", "t", "b")) for kind in (BIGRAM, BEFORE))
         place = np.searchsorted(v["key"], before["key"])  # a known bigram's words are known
@@ -225,25 +365,7 @@ def score(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col
             model["rest"].append(rest)
         out = map_texts(rows, "text", ("doc_id",), _score_here(spark.sparkContext.broadcast(model)), "n_tokens long, target_loss double, background_loss double")
     else:
-        full = _count(flagged, all_bigrams=True).where(F.col("kind") == BIGRAM).join(inventory.select("key"), "key", "left_semi").select(F.col("key").alias("vw"), F.col("t").alias("vw_t"), F.col("b").alias("vw_b"))
-        each = map_texts(rows, "text", ("uid",), _pairs, "pairs array<struct<v:bigint,w:bigint,vw:bigint,n:bigint>>").select("uid", F.explode("pairs").alias("x")).select("uid", "x.*")
-        heads = map_texts(flagged.where("good"), "text", ("uid",), _pairs, "pairs array<struct<v:bigint,w:bigint,vw:bigint,n:bigint>>").select(F.explode("pairs").alias("x")).where("x.vw is not null")
-        taken = heads.groupBy("x.vw").agg(F.min("x.v").alias("v")).join(full, "vw").groupBy("v").agg(F.sum("vw_t").alias("taken_t"), F.sum("vw_b").alias("taken_b"))
-        one = vocabulary.select(F.col("key").alias("v"), F.col("t").alias("v_t"), F.col("b").alias("v_b"))
-        if hand_back:
-            one = one.join(taken, "v", "left")
-        two = vocabulary.select(F.col("key").alias("w"), F.col("t").alias("w_t"), F.col("b").alias("w_b"))
-        each = each.join(two, "w", "left").join(one, "v", "left").join(full, "vw", "left")
-
-        def loss(k: int, name: str) -> Column:
-            p = (F.coalesce(f"w_{name}", F.lit(unknown[k])) + 1) / F.lit(float(total[k] + size + 1))
-            count = F.coalesce(f"v_{name}", F.lit(unknown[k]))
-            rest = count - F.coalesce(f"taken_{name}", F.lit(0)) if hand_back else F.lit(0)
-            given = (F.coalesce(f"vw_{name}", F.lit(0)) + (PRIOR + rest) * p) / (count + PRIOR)
-            return F.sum(-F.log(F.when(F.col("vw").isNull(), p).otherwise(given)) * F.col("n")) / F.sum("n")
-
-        sums_ = each.groupBy("uid").agg(F.sum("n").alias("n_tokens"), loss(0, "t").alias("target_loss"), loss(1, "b").alias("background_loss"))
-        out = rows.select("doc_id", "uid").join(sums_, "uid", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "target_loss", "background_loss")
+        out = _score_beyond(rows, flagged, vocabulary, inventory.select("key"), size, sums[BIGRAM].n if BIGRAM in sums else 0, total, unknown, broadcast_grams // FREQUENT, hand_back)
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

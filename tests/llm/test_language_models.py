@@ -51,6 +51,20 @@ def test_losses_with_counts_handed_back(spark, limit):
     assert sorted(key((r.n_tokens, r.target_loss, r.background_loss)) for r in out) == sorted(map(key, want))
 
 
+def test_rare_words_and_bigrams_alone_are_shuffled(spark, monkeypatch):
+    """Beyond the limit, the frequent ones are scored where texts are read, and the losses are the same; no row of a text's unknown bigrams is made but for what the bitmap lets through."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels").where("quality = 1").select("doc_id")
+    written = []
+    monkeypatch.setattr(lm_scoring, "materialise", lambda df, f=lm_scoring.materialise: written.append(f(df)) or written[-1])
+    key = lambda x: tuple(-1 if v is None else round(v, 9) for v in x)
+    for hand_back in (True, False):
+        want, got = (sorted(key(r) for r in lm_scoring.score(docs, labels, broadcast_grams=n, hand_back=hand_back).collect()) for n in (4_000_000, 1000))
+        assert want == got
+    sent = [r for df in written if "keys" in df.columns for r in df.collect()]
+    words = sum(r.n_tokens for r in sent)
+    assert len(sent) == 2 * docs.count() and 0 < sum(len(r.keys) for r in sent) < words  # all words and bigrams are twice as many
+
+
 def test_op7_ranks_good_documents_first(spark):
     labels = table(spark, MIDDLE, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     means = {r.quality: r.m for r in lm_scoring.op7_cross_entropy_difference(spark, MIDDLE).join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("m")).collect()}
